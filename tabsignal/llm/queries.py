@@ -30,6 +30,12 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(ogg.from_media(ogg.to_media(_table(spark, sf_dir, "documents"))))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op8_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
