@@ -36,6 +36,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
