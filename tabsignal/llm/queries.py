@@ -30,6 +30,18 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(ogg.from_media(ogg.to_media(_table(spark, sf_dir, "documents"))))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import piece_counts
+
+    return piece_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
