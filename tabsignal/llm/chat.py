@@ -92,7 +92,7 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     for level in levels[:-1]:
         step = level.filter("jump IS NOT NULL").select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("jump").alias("_j"))
         up = members.join(step, members["tree"].eqNullSafe(step["_t"]) & (members["node"] == step["_n"])).select("tree", "leaf", F.col("_j").alias("node"), "rank")
-        members = members.unionByName(up)
+        members = saved(members.unionByName(up), "paths")  # else the plan would double each time
     depths = done.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "depth")
     texts = messages.select(F.col("tree").alias("_mt"), F.col("node").alias("_mn"), "role", "text")
     members = members.join(depths, members["tree"].eqNullSafe(depths["_t"]) & (members["node"] == depths["_n"]))
