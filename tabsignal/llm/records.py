@@ -96,7 +96,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None
     text_batches(spark)
     folder = folder or scratch(spark, "records")
     source = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = source.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")  # the sampled keys are ids alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -46,6 +46,17 @@ def _byte_pattern() -> re.Pattern:
     return re.compile("|".join(ENDINGS) + f"| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def _near(text: str) -> bool:
+    """Whether all characters are under U+0300."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return max(text) < "\u0300"
+    return True
+
+
 class PieceEncoder:
     """Ids of whole texts under a tokenizer file, as little-endian unsigned 32-bit integers."""
 
@@ -102,7 +113,7 @@ class PieceEncoder:
         slow, pieces = [], []
         for i, t in enumerate(texts):
             s = t.lower() if self.lower else t
-            if self.find is not None and (s.isascii() or max(max(t), max(s)) < "\u0300"):
+            if self.find is not None and _near(t) and (s is t or _near(s)):
                 pieces.append((i, self.find(s)))
             else:
                 slow.append(i)
@@ -112,8 +123,7 @@ class PieceEncoder:
             cache, new = self.cache, set()
             for _, ps in pieces:
                 new.update(ps)
-            new.difference_update(cache)
-            self._learn(list(new))
+            self._learn([p for p in new if p not in cache])
             get = cache.__getitem__
             for i, ps in pieces:
                 out[i] = b"".join(map(get, ps))
@@ -123,16 +133,29 @@ class PieceEncoder:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        cache = self.cache
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            encoded = self.tok.encode_batch(part, add_special_tokens=False)
-            ids = [e.ids for e in encoded]
-            flat = np.fromiter((x for i in ids for x in i), "<u4").tobytes()
-            done = 0
-            for p, i in zip(part, ids):
-                cache[p] = flat[done : done + 4 * len(i)]
-                done += 4 * len(i)
+        """Encode pieces that are not known: words of letters many at once in one text, others each on its own."""
+        glue = 0 if self.lower else 1  # the byte rule's words bring their space with them
+        words = [p for p in new if p[glue:].isalpha() and (not glue or p[0] == " ")]
+        for at in range(0, len(words), 2_000):
+            part = words[at : at + 2_000]
+            encoded = self.tok.encode((" " if self.lower else "").join(part), add_special_tokens=False)
+            owner = np.array(encoded.word_ids)
+            cuts = np.flatnonzero(np.diff(owner)) + 1
+            if len(cuts) + 1 != len(part):
+                self._learn_each(part)
+            else:
+                self._keep(part, np.array(encoded.ids, "<u4").tobytes(), np.concatenate([[0], cuts, [len(owner)]]))
+        self._learn_each([p for p in new if not (p[glue:].isalpha() and (not glue or p[0] == " "))])
+
+    def _learn_each(self, part: list[str]) -> None:
+        for at in range(0, len(part), 20_000):
+            some = part[at : at + 20_000]
+            ids = [e.ids for e in self.tok.encode_batch(some, add_special_tokens=False)]
+            self._keep(some, np.fromiter((x for i in ids for x in i), "<u4").tobytes(), np.cumsum([0, *map(len, ids)]))
+
+    def _keep(self, part: list[str], flat: bytes, ends: np.ndarray) -> None:
+        ends = (4 * ends).tolist()
+        self.cache.update((p, flat[a:b]) for p, a, b in zip(part, ends, ends[1:]))
 
     def names(self) -> list[bytes]:
         """UTF-8 token text by id; ids without a token have none."""
