@@ -16,9 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import in_slices, pick, text_batches
+from .common import in_slices, pick, positions, text_batches
 
 #: Length of q-grams, and edits as a share of an item's length.
 Q, EDITS = 8, 0.10
@@ -317,13 +316,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDIT
     return found if found is not None else spark.createDataFrame([], kinds)
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a leak, all their columns as they are.
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows in whose text :func:`leaks` finds nothing, all columns as they are."""
+    import pyarrow as pa
 
-    Rows are judged by their own text: those whose id also names a leaking row
-    go too.
-    """
-    found = leaks(docs, benchmark, **options)
-    id_col = options.get("id_col", "doc_id")
-    bad = found.select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_leak"]), "left_anti")
+    spark = docs.sparkSession
+    text_batches(spark)
+    left, names = positions(docs)
+    at = names.index(text_col)
+
+    def cleaner(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in in_slices(batches, at, 1_000_000):
+                yield batch.filter(pa.array([not spans for spans in _search(held.value, [t or "" for t in batch.column(at).to_pylist()], q)]))
+
+        return run
+
+    for rows in _blocks(benchmark, item_col, item_text_col):
+        left = left.mapInArrow(cleaner(spark.sparkContext.broadcast(Items.of(rows, q, edits))), left.schema)
+    return left.toDF(*names)

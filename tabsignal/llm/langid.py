@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, in_slices, pick, text_batches
+from .common import crc_of_id, in_slices, pick, positions, text_batches
 
 #: Longest context in bytes.
 ORDER = 4
@@ -167,6 +167,22 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return train([(r[1], r[2]) for r in got])
 
 
+def _judge(m: Model | None, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
+    """Language, score and bits per byte of each text."""
+    known = [m is not None and t is not None and any(map(str.isalpha, t)) for t in texts]
+    raw = [t.encode("utf-8", "replace") if k else b"" for t, k in zip(texts, known)]
+    langs, scores, rates = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
+    if any(known):
+        bits = m.code_lengths(raw)
+        best = bits.argmin(1)
+        least = bits[np.arange(len(texts)), best]
+        share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+        for i, k in enumerate(known):
+            if k:
+                langs[i], scores[i], rates[i] = m.langs[best[i]], float(share[i]), float(least[i] / len(raw[i]))
+    return langs, scores, rates
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, lang_pred, score (the language's share of the probability), bits_per_byte.
 
@@ -182,25 +198,39 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
         for batch in in_slices(batches, 1, 500_000):
-            texts = batch.column(1).to_pylist()
-            known = [m is not None and t is not None and any(map(str.isalpha, t)) for t in texts]
-            raw = [t.encode("utf-8", "replace") if k else b"" for t, k in zip(texts, known)]
-            langs, scores, rates = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            if any(known):
-                bits = m.code_lengths(raw)
-                best = bits.argmin(1)
-                least = bits[np.arange(len(texts)), best]
-                share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-                for i, k in enumerate(known):
-                    if k:
-                        langs[i], scores[i], rates[i] = m.langs[best[i]], float(share[i]), float(least[i] / len(raw[i]))
+            langs, scores, rates = _judge(held.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [id_col, "lang_pred", "score", "bits_per_byte"])
 
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
 
 
+def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows whose text is in a learned language, all columns as they are.
+
+    Rejected are texts that are null or without a letter, and those that no
+    language's model codes in fewer bits than the text itself has.  Without a
+    model nothing can be told, and every text with a letter stays.
+    """
+    flat, names = positions(docs)
+    text_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = names.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in in_slices(batches, at, 500_000):
+            texts = batch.column(at).to_pylist()
+            if held.value is None:
+                good = [t is not None and any(map(str.isalpha, t)) for t in texts]
+            else:
+                good = [x != UNDETERMINED and r < 8 for x, r in zip(*_judge(held.value, texts)[::2])]
+            yield batch.filter(pa.array(good))
+
+    return flat.mapInArrow(run, flat.schema).toDF(*names)
+
+
 def identify(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Predictions for all rows by a model of the rows outside fold 0.
 

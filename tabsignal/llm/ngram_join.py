@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, pick, saved, text_batches
+from .common import in_slices, pick, positions, saved, text_batches
 from .decontaminate import normal
 from .graph import components
 
@@ -260,12 +260,18 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recal
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents, one of each group: the least id; all columns as they are.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents, one of each group: that of the least id; all columns as they are.
 
-    Of rows that repeat an id, one of those with the kept text stays.
+    Of rows that repeat an id one stays.
     """
-    id_col = options.get("id_col", "doc_id")
-    found = links(docs, **options)
+    flat, names = positions(docs)
+    at = f"_p{names.index(id_col)}"
+    found = saved(links(docs, id_col=id_col, **options), "links")
     gone = found.filter(~F.col(id_col).eqNullSafe(F.col("group_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti").dropDuplicates([id_col])
+    repeated = saved(found.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_again")), "repeated")
+    left = flat.join(gone, flat[at].eqNullSafe(gone["_gone"]), "left_anti")
+    if repeated.limit(1).count():
+        again = left.join(repeated, left[at].eqNullSafe(repeated["_again"]), "left_semi").dropDuplicates([at])
+        left = left.join(repeated, left[at].eqNullSafe(repeated["_again"]), "left_anti").unionByName(again)
+    return left.toDF(*names)
