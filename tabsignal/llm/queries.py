@@ -69,6 +69,12 @@ def op8_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(spark, manifest).select("doc_id", "start", F.expr("CAST(length(ids) / 4 AS BIGINT)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import rnn_lm
+
+    return rnn_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
