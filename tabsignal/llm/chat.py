@@ -50,18 +50,11 @@ def linear_tree(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     return rows.select("tree", at.alias("node"), F.when(at > 1, at - 1).alias("parent"), F.length("text").cast("double").alias("score"), "role", "text")
 
 
-def _next(jumps: DataFrame) -> DataFrame:
-    """Jump pointers twice as long."""
-    far = jumps.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("jump").alias("_j"), F.col("depth").alias("_d"), F.col("total").alias("_s"), F.col("root").alias("_r"))
-    both = jumps.join(far, jumps["tree"].eqNullSafe(far["_t"]) & (jumps["jump"] == far["_n"]), "left")
-    return both.select(
-        "tree",
-        "node",
-        F.col("_j").alias("jump"),
-        (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
-        (F.col("total") + F.coalesce("_s", F.lit(0.0))).alias("total"),
-        F.coalesce("_r", "root").alias("root"),
-    )
+def _next(open_: DataFrame, every: DataFrame) -> DataFrame:
+    """Jump pointers twice as long, of messages whose pointer is not yet past the root."""
+    far = every.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("jump").alias("_j"), F.col("depth").alias("_d"), F.col("total").alias("_s"), F.col("root").alias("_r"))
+    both = open_.join(far, open_["tree"].eqNullSafe(far["_t"]) & (open_["jump"] == far["_n"]))
+    return both.select("tree", "node", F.col("_j").alias("jump"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("total") + F.col("_s")).alias("total"), F.col("_r").alias("root"))
 
 
 def paths(messages: DataFrame, top: int = 1) -> DataFrame:
@@ -79,18 +72,24 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     jumps = linked.select("tree", "node", F.col("_n").alias("jump"), F.lit(1).alias("depth"), F.col("score").alias("total"), F.col("node").alias("root"))
     jumps = saved(jumps, "jumps")
     longest = jumps.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    levels = [jumps]
-    while levels[-1].filter("jump IS NOT NULL").limit(1).count():
+    levels, done = [], None  # done: messages whose pointer has passed the root, which no later round touches
+    while True:
+        past = jumps.filter("jump IS NULL")
+        done = past if done is None else done.unionByName(past)
+        open_ = jumps.filter("jump IS NOT NULL")
+        if not open_.limit(1).count():
+            break
         if 2 ** len(levels) > 2 * longest:
             raise ValueError("the reply graph has a cycle")
-        levels.append(saved(_next(levels[-1]), "jumps"))
-    done = levels[-1]
-    parents = jumps.filter("jump IS NOT NULL").select(F.col("tree").alias("_t"), F.col("jump").alias("_n"))
+        levels.append(open_)
+        jumps = saved(_next(open_, done.unionByName(open_)), "jumps")
+    first = levels[0] if levels else done.limit(0)
+    parents = first.select(F.col("tree").alias("_t"), F.col("jump").alias("_n"))
     leaves = done.join(parents, done["tree"].eqNullSafe(parents["_t"]) & (done["node"] == parents["_n"]), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree", "root").orderBy(F.col("total").desc(), "node"))
     members = leaves.select("tree", F.col("node").alias("leaf"), "node", rank.alias("rank")).filter(F.col("rank") <= top)
-    for level in levels[:-1]:
-        step = level.filter("jump IS NOT NULL").select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("jump").alias("_j"))
+    for level in levels:
+        step = level.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("jump").alias("_j"))
         up = members.join(step, members["tree"].eqNullSafe(step["_t"]) & (members["node"] == step["_n"])).select("tree", "leaf", F.col("_j").alias("node"), "rank")
         members = saved(members.unionByName(up), "paths")  # else the plan would double each time
     depths = done.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "depth")
