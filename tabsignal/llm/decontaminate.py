@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import in_slices, pick, positions, text_batches
 
@@ -289,6 +290,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDIT
     spark = docs.sparkSession
     text_batches(spark)
     source = pick(docs, id_col, text_col)
+    item_type = to_arrow_type(pick(benchmark, item_col).schema[item_col].dataType)
     kinds = f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, `{item_col}` {pick(benchmark, item_col).schema[item_col].dataType.simpleString()}, start int, length int, edits int, similarity double"
     found = None
 
@@ -304,7 +306,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDIT
                 if not rows:
                     continue
                 lengths = {i: len(c) for i, c in zip(items.ids, items.codes)}
-                columns = [pa.array([h[0] for h in hits]), *(pa.array(x, pa.int32()) for x in ([h[1] for h in hits], [h[2] - h[1] for h in hits], [h[3] for h in hits]))]
+                columns = [pa.array([h[0] for h in hits], item_type), *(pa.array(x, pa.int32()) for x in ([h[1] for h in hits], [h[2] - h[1] for h in hits], [h[3] for h in hits]))]
                 columns.append(pa.array([1 - h[3] / lengths[h[0]] for h in hits], pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns], [id_col, item_col, "start", "length", "edits", "similarity"])
 
