@@ -1,0 +1,220 @@
+"""Operators 6, 7 and 9: exact code lengths, held-out accuracy, gradients, brute-force counts."""
+
+import html
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tabsignal.llm import html_text, langid, rnn_lm
+
+SYLLABLES = {"aa": "ka ro mi ta ne so lu".split(), "bb": "sch ein ung keit ver ge ten".split(), "cc": "tion eau ux ère le que ment".split()}
+
+
+def prose(r, lang, n):
+    return " ".join("".join(r.choice(SYLLABLES[lang]) for _ in range(r.randint(1, 4))) for _ in range(n)).capitalize() + "."
+
+
+def documents(spark, rows):
+    """(doc_id, text, lang) with columns whose names clash."""
+    return spark.createDataFrame([(t, i, lang, "z", 1.0) for i, t, lang in rows], "text string, doc_id long, lang string, other string, score double").toDF("text", "doc_id", "lang", "TEXT", "score")
+
+
+def labelled(seed=1, n=240):
+    r = random.Random(seed)
+    return [(i, prose(r, lang := r.choice(sorted(SYLLABLES)), r.randint(1, 80)), lang) for i in range(n)]
+
+
+def code_length(samples, text, order):
+    """Bits by the definition: longest known context, escapes down to the uniform distribution."""
+    counts: dict[bytes, Counter] = {}
+    for t in samples:
+        for i in range(len(t)):
+            for k in range(min(order, i) + 1):
+                counts.setdefault(t[i - k : i], Counter())[t[i]] += 1
+    bits = 0.0
+    for i, b in enumerate(text):
+        p, found = 1.0, False
+        for k in range(min(order, i), -1, -1):
+            c = counts.get(text[i - k : i])
+            if not c:
+                continue
+            total, kinds = sum(c.values()), len(c)
+            if b in c:
+                p, found = p * c[b] / (total + kinds), True
+                break
+            p *= kinds / (total + kinds)
+        bits -= math.log2(p if found else p / 256)
+    return bits
+
+
+def test_code_lengths_are_exact(monkeypatch):
+    monkeypatch.setattr(langid, "LEAST_COUNT", 1)
+    r = random.Random(2)
+    samples = [(prose(r, lang, 12), lang) for lang in SYLLABLES for _ in range(5)]
+    model = langid.train(samples, 3)
+    model_order = 3
+    monkeypatch.setattr(langid, "ORDER", model_order)
+    texts = [prose(r, "bb", 6).encode(), "Zürich 99 \x01".encode(), b"a", b""]
+    got = model.code_lengths(texts)
+    for j, lang in enumerate(model.langs):
+        own = [t.encode() for t, x in samples if x == lang]
+        for i, t in enumerate(texts):
+            want = code_length(own, t, model_order)
+            assert got[i, j] == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
+def test_identify(spark):
+    rows = labelled() + [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 !!! 456", "cc"), (1003, "ka " * 60_000, None), (None, prose(random.Random(4), "cc", 30), "cc"), (3, "Schkeitung verge.", "bb")]
+    got = langid.identify(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+        assert r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1
+    assert all(by[i][0]["lang_pred"] == "und" for i in (1000, 1001, 1002)) and by[1003][0]["lang_pred"] == "aa"
+    held = [(by[i][0]["lang_pred"], lang) for i, t, lang in rows[:240] if by[i][0]["held_out"]]
+    assert sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
+def test_keep_known(spark):
+    rows = labelled(3, 60) + [(900, None, "aa"), (901, "...", "aa"), (902, "你好世界" * 40, "aa")]
+    docs = documents(spark, rows)
+    kept = langid.keep_known(docs, langid.fit(docs.filter("doc_id < 900")))
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(60))
+    assert langid.keep_known(documents(spark, []), None).count() == 0
+    assert langid.identify(documents(spark, [])).count() == 0
+    unlabelled = langid.identify(documents(spark, [(1, "abc", None)])).collect()
+    assert [r["lang_pred"] for r in unlabelled] == ["und"]
+
+
+def test_pages(spark):
+    r = random.Random(6)
+    say = lambda n=3: " ".join(prose(r, "aa", r.randint(4, 12)) for _ in range(n))
+    a, b, c = say(), say(), say(1)
+    page = f"""<!DOCTYPE html><html><head><title>{say(1)}</title><style>p{{}}</style><script>var x="</p>";</script></head><body>
+    <header><h1>Site</h1></header><nav><ul><li><a href="/a">one</a></li><li><a href="/b">two</a></li><li><a href="/c">three</a></li></ul></nav>
+    <div class="cookie-notice"><p>We use cookies.</p><button>ok</button></div>
+    <article><h1>Caf&eacute; &amp; more</h1><p>{a}<p>{b}   with\n  space &#233;<b>bold</b></p><ul><li>{c}</li></ul></article>
+    <div class="ad">{say(1)}</div><form><label>mail</label><input name=m></form>
+    <section class="comments"><h3>Comments</h3><div class="comment"><p>{say(2)}</p></div></section><footer>&copy; someone {say(1)}</footer></body></html>"""
+    want = "\n".join(["Café & more", a, f"{b} with space ébold", c])
+    rows = [(0, "u", page), (1, None, None), (2, "v", ""), (3, "w", "<nav><a href=x>only links</a></nav>"), (0, "u", page), (None, "x", page)]
+    table = spark.createDataFrame([(h, i, u, "t") for i, u, h in rows], "html string, page_id long, url string, text string")
+    got = html_text.extract(table).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert x["n_chars"] == len(x["text"]) and x["text"] == (want if x["url"] in ("u", "x") else "")
+    assert html_text.extract(table.limit(0)).count() == 0
+
+
+def test_trees_on_new_pages():
+    r, trees = np.random.default_rng(99), html_text.trained()
+    right = extra = lost = 0
+    for _ in range(120):
+        source = html_text._template_page(r)[0]
+        _, texts = html_text.parse(source)
+        want = Counter(t.replace("@@", "") for t in texts if "@@" in t)
+        got = Counter(t for t in html_text.main_texts([source.replace("@@", "")], trees)[0].split("\n") if t)
+        right += sum((want & got).values())
+        extra += sum((got - want).values())
+        lost += sum((want - got).values())
+    assert right / (right + extra) > 0.97 and right / (right + lost) > 0.97
+
+
+def test_decoding_never_contradicts():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        nodes = [html_text.Node("html", None, ())]
+        for k in range(1, int(r.integers(2, 9))):
+            v = html_text.Node("div", nodes[int(r.integers(0, k))], ())
+            v.order, v.own = k, int(r.integers(0, 50))
+            v.parent.kids.append(v)
+            nodes.append(v)
+        odds = r.normal(0, 2, len(nodes))
+        kept = html_text.decode(nodes, odds)
+        weight = np.array([1 + np.log1p(v.own) for v in nodes])
+
+        def value(choice):
+            return sum(-w * np.logaddexp(0, -o if c else o) for w, o, c in zip(weight, odds, choice))
+
+        legal = [c for c in ([bool(m >> i & 1) for i in range(len(nodes))] for m in range(2 ** len(nodes))) if all(not x or v.parent is None or c[v.parent.order] for v, x in zip(nodes, c))]
+        assert value(kept) == pytest.approx(max(map(value, legal)))
+
+
+@pytest.mark.parametrize("source", ["<", "<p", "</div></p>x", "<div><div>" * 600 + "deep", "a<b>c</b", "<p>1<p>2<div>3<p>4</div>5", "<!-- never closed <p>x", "<script>never closed", "&notanentity; &#xZZ; &lt;p&gt;"])
+def test_broken_markup(source):
+    nodes, texts = html_text.parse(source)
+    assert nodes and all(t.strip() == t for t in texts)
+    html_text.features(nodes, texts)
+
+
+def test_blocks_and_entities():
+    assert html_text.parse("<p>1<p>2<div>3<p>4</div>5")[1] == ["1", "2", "3", "4", "5"]
+    assert html_text.parse("<div>a &lt;b&gt;  <i>c</i>d<br>e</div>")[1] == ["a <b> cd e"]
+    assert html.unescape("&eacute;") == "é"
+
+
+def test_gradients():
+    r = np.random.default_rng(0)
+    prior = r.random(rnn_lm.OUTPUTS)
+    net = rnn_lm.Network(prior / prior.sum())
+    for k in net.p:
+        net.p[k] = (net.p[k] + r.standard_normal(net.p[k].shape) * 0.1).astype(np.float64)
+    x, first, h = r.integers(0, rnn_lm.OUTPUTS, (6, 4)), np.zeros((6, 4), bool), r.standard_normal((4, rnn_lm.HIDDEN))
+    first[3, 1] = True
+    g = net._gradient(h, x, first)[0]
+    for k in net.p:
+        for _ in range(3):
+            at = tuple(r.integers(0, s) for s in net.p[k].shape)
+            at = (x[r.integers(6), r.integers(4)], at[1]) if k == "x" else (x[0, 0] // net.size, *at[1:]) if k in ("o", "ob") else at
+            old, step, losses = net.p[k][at], 1e-5, []
+            for sign in (1, -1):
+                net.p[k][at] = old + sign * step
+                losses.append(net._gradient(h, x, first)[2])
+            net.p[k][at] = old
+            assert (losses[0] - losses[1]) / 2 / step == pytest.approx(g[k][at], rel=1e-3, abs=1e-5)
+
+
+def test_scores_do_not_depend_on_lanes(monkeypatch):
+    r = np.random.default_rng(1)
+    prior = r.random(rnn_lm.OUTPUTS)
+    net = rnn_lm.Network(prior / prior.sum())
+    texts = [r.integers(0, rnn_lm.OUTPUTS, n) for n in (1, 5, 200, 64, 65, 3, 700)]
+    alone = []
+    for t in texts:  # word by word
+        h, total = np.zeros((1, rnn_lm.HIDDEN), np.float32), 0.0
+        for x in net.slot[t]:
+            total += float(net.log_prob(h, np.array([x]))[0])
+            h = net.step(h, np.array([x]))[0]
+        alone.append(total / np.log(10))
+    for lanes in (1, 3, 100):
+        monkeypatch.setattr(rnn_lm, "LANES", lanes)
+        assert net.score(texts) == pytest.approx(np.array(alone), rel=1e-4)
+    h = r.standard_normal((1, rnn_lm.HIDDEN)).astype(np.float32)
+    every = net.log_prob(np.repeat(h, rnn_lm.OUTPUTS, 0), np.arange(rnn_lm.OUTPUTS))
+    assert np.exp(every.astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_scores(spark, monkeypatch):
+    monkeypatch.setattr(rnn_lm, "HOT", 60)  # so that rare words go through the join
+    monkeypatch.setattr(rnn_lm, "UPDATES", 60)
+    rows = labelled(5, 150) + [(500, None, "aa"), (501, "", "aa"), (502, "UPPER upper Été  x", "aa"), (503, "w" * 5000, "bb"), (503, "w" * 5000, "bb"), (504, "ka " * 30_000, "aa"), (None, "ka ro", "aa")]
+    got = rnn_lm.score(documents(spark, rows)).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    tokens = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None]) for i, t, _ in rows]
+    counts = Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((str(i), held(i), len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 4)) for i, ws in tokens)
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
+    assert all(r["score"] < 0 for r in got)
+    usual = [r for r in got if r["held_out"] and r["n_tokens"] > 20]
+    assert usual and sum(r["score"] for r in usual) > sum(r["base_score"] for r in usual)
+    assert rnn_lm.score(documents(spark, [])).count() == 0
