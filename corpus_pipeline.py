@@ -30,8 +30,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left."""
-    path = tokenizer_path("word_bpe_49k.json")
-    return bpe.digests(bpe.decode(bpe.encode(docs, path), path))
+    return bpe.digests(bpe.codec(docs, tokenizer_path("word_bpe_49k.json")))
 
 
 STAGES = [

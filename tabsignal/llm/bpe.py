@@ -27,7 +27,7 @@ from .tokenization import SPACE, PieceEncoder, encoder
 #: Chunk lengths in characters.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 256, 1024, 8192
 #: Bytes of ids of known chunks that a worker keeps before it starts anew.
-CACHE_BYTES = 96_000_000
+CACHE_BYTES = 48_000_000
 #: Characters from a cut to the first window border tried.
 WINDOW = 24
 
@@ -196,6 +196,26 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> D
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, ids binary, decoded string")
 
 
+def codec(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass: ``id_col``, ids, decoded.
+
+    One Python worker serves a task, where the two operators in a row would
+    hold two with a cache each.
+    """
+    import pyarrow as pa
+
+    text_batches(docs.sparkSession)
+    source = pick(docs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunker, pieces = _chunker(tokenizer_path), encoder(tokenizer_path)
+        for batch in in_slices(batches, 1):
+            ids = chunker.encode([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(pieces.decode(ids), pa.string())], [id_col, "ids", "decoded"])
+
+    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, ids binary, decoded string")
+
+
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of what :func:`decode` returns."""
     return decoded.select(

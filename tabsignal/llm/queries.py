@@ -26,8 +26,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
-    path = tokenizer_path("word_bpe_49k.json")
-    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.codec(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

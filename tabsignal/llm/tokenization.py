@@ -18,7 +18,7 @@ import numpy as np
 #: White space under U+0300 in the Unicode sense.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 #: Pieces that a worker keeps before it starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 #: Endings that both splitting rules cut off first.
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: The splitting rule of the word-end vocabulary.

@@ -74,7 +74,8 @@ def test_codec_frame(spark):
         ids = tok.encode(t or "", add_special_tokens=False).ids
         want.append((i, len(ids), hashlib.sha256(b"".join(struct.pack("<I", x) for x in ids)).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert got == sorted(want, key=str)
-    assert bpe.encode(frame(spark, []), WORD).count() == 0
+    assert sorted(map(tuple, bpe.digests(bpe.codec(frame(spark, rows), WORD)).collect()), key=str) == got
+    assert bpe.encode(frame(spark, []), WORD).count() == 0 and bpe.codec(frame(spark, []), WORD).count() == 0
 
 
 def test_records_round_trip(spark):
