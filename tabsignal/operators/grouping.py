@@ -17,13 +17,14 @@ def global_row_number(df: DataFrame, order: Sequence[str], name: str, parts: int
 
     Rows are dealt by ranges of the first order column, whose borders come from
     an approximate quantile, numbered inside each range, and shifted by the
-    counts of the ranges before.  Ties follow the further order columns.
+    counts of the ranges before.  Ties follow the further order columns, nulls
+    come last.
     """
     key = quoted(order[0])
     as_number = (F.unix_micros(key.cast("timestamp")) if dict(df.dtypes)[order[0]] in ("date", "timestamp", "timestamp_ntz") else key).cast("double")
     borders = sorted(set(df.select(as_number.alias("k")).na.drop().approxQuantile("k", [i / parts for i in range(1, parts)], 0.005)))
     if borders:
-        band = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b < as_number)), F.lit(-1))
+        band = F.when(as_number.isNull(), len(borders) + 1).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b < as_number)))
     else:
         band = F.lit(0)
     banded = df.withColumn("_band", band)

@@ -59,7 +59,11 @@ def research_pipeline(
     res_save_path: str = "data/results",
     res_filetype: str = "csv",
 ) -> dict[str, DataFrame]:
-    """Read both tables, run the validations asked for, and save each result with the settings and a log."""
+    """Read both tables, run the validations asked for, and save each result with the settings and a log.
+
+    Tables kept between stages stay until ``stages.release()``; the results
+    given back still read them.
+    """
     if not (to_train_test or to_wfa or to_bootstrap or to_null_fdr):
         raise ValueError("at least one validation is needed")
     params = load_params(default_params, custom_params)
@@ -86,8 +90,8 @@ def research_pipeline(
         keep("wfa_results", combined)
         keep("wfa_log", log)
     if to_bootstrap or to_null_fdr:
-        ready = stages.prepared(features, prices, cfg, logger).cache()
-        mined = stages.mining_pipeline(ready, cfg, logger)[0].cache()
+        ready = stages.prepared(features, prices, cfg, logger)
+        mined = stages.held(stages.mining_pipeline(ready, cfg, logger)[0])
         keep("mining_results", mined)
         if to_bootstrap:
             summary, log = stages.bootstrap_pipeline(ready, mined, cfg, logger)
@@ -104,6 +108,10 @@ def research_pipeline(
     return out
 
 
+#: What a grid runs for each combination.
+RUN = research_pipeline
+
+
 def generate_param_grid(param_space: dict) -> list[dict]:
     """All combinations, keys in order of name."""
     keys = sorted(param_space)
@@ -121,7 +129,7 @@ def run_grid_config(spark: SparkSession, i: int, params: dict, grid: dict) -> st
     folder = Path(grid.get("res_save_path", "data/results"))
     if (folder / name / DONE).exists():
         return None
-    research_pipeline(
+    RUN(
         spark,
         *[grid.get(k, True) for k in ("to_train_test", "to_wfa", "to_bootstrap", "to_null_fdr")],
         default_params=grid.get("default_params"),

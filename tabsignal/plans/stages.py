@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from ..config import Config
 from ..functions.scalar import quoted
 from ..operators import features, miners, missing, prune, scale, splits, synth, target, types, validate
+from ..sources.shared import drop_saved, saved
 from ..sources.steplog import PipelineLogger
 
 
@@ -20,6 +21,25 @@ def with_overrides(cfg: Config, overrides: dict) -> Config:
     return replace(cfg, **overrides) if overrides else cfg
 
 
+#: Tables kept between stages, for :func:`release`.
+HELD: list[DataFrame] = []
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder: the decisions of later steps (types, columns, edges) read it again and again.
+
+    Plans stay short, and a lost executor costs no earlier work.
+    """
+    HELD.append(saved(df, "held"))
+    return HELD[-1]
+
+
+def release() -> None:
+    """Delete all kept tables."""
+    while HELD:
+        drop_saved(HELD.pop())
+
+
 def _note(logger: PipelineLogger | None, step: str, info: dict, tables=None) -> None:
     if logger:
         logger.log_step(step, info, tables)
@@ -31,14 +51,17 @@ def clean_pipeline(df: DataFrame, cfg: Config, logger: PipelineLogger | None = N
     ids = [c for c in cfg.id_cols if c in df.columns]
     other = [c for c in (*cfg.drop_cols, cfg.date_col) if c in df.columns]
     logs: dict = {}
-    out, logs["types"] = types.apply_column_type_cleaning(df)
+    out, logs["types"] = types.apply_column_type_cleaning(held(df))
+    out = held(out)
     out, more = missing.handle_missing_data(out, cfg.missingness_row_thresh, cfg.missingness_col_thresh, cfg.to_drop_high_missingness, cfg.to_impute_numeric, cfg.to_impute_categorical, cfg.to_mask_high_impute, ids, cfg.impute_strategy, cfg.max_imputed, other)
+    out = held(out)
     logs |= more
     out, more = prune.handle_outliers_and_redundancy(out, cfg.to_winsorize, cfg.to_drop_var, cfg.to_drop_corr, cfg.winsor_cols, cfg.winsor_grouping, ids, cfg.date_col, cfg.winsor_dt_units, cfg.winsor_lower_quantile, cfg.winsor_upper_quantile, cfg.variance_threshold, cfg.correlation_threshold, cfg.drop_cols)
     logs |= more
     wanted = cfg.scale_cols if cfg.scale_cols == "all" else [c for c in cfg.scale_cols if c in out.columns]
     if types.numeric_columns(out, [*ids, *other]):
         out, logs["scaling"] = scale.normalize_features(out, cfg.scaling_method, wanted, cfg.scale_grouping, ids, cfg.date_col, cfg.scale_dt_units, tuple(cfg.robust_scale_quantile_range), cfg.quantile_rank_mode, cfg.vector_scale_norm_type, cfg.drop_cols)
+    out = held(out)
     _note(logger, "clean", {"columns": out.columns}, {"types": logs["types"]})
     return out, logs
 
@@ -48,8 +71,10 @@ def engineer_pipeline(df: DataFrame, cfg: Config, logger: PipelineLogger | None
     cfg = with_overrides(cfg, overrides)
     drop = [c for c in cfg.drop_cols if c in df.columns]
     out = features.engineer_features(df, cfg.date_col, cfg.id_cols, cfg.engineer_cols, cfg.to_engineer_dates, cfg.to_engineer_ratios, cfg.to_engineer_lags, cfg.lag_mode, cfg.n_dt_list, cfg.flat_threshold, drop)
+    out = held(out)
     bins = cfg.bin_cols if cfg.bin_cols == "all" else [c for c in cfg.bin_cols if c in out.columns]
     out = features.encode_data(out, cfg.date_col, cfg.id_cols, drop, bins, cfg.bin_quantiles, cfg.bin_quantile_labels, cfg.bin_grouping, cfg.bin_dt_units, cfg.to_sweep, cfg.to_drop_no_data, cfg.min_bin_obs, cfg.min_bin_fraction, cfg.lag_num_missing)
+    out = held(out)
     _note(logger, "engineer", {"n_columns": len(out.columns)})
     return out
 
@@ -65,7 +90,7 @@ def target_pipeline(df: DataFrame, cfg: Config, hloc: DataFrame | None = None, l
         returns = returns.select(*[quoted(c) for c in cfg.id_cols], quoted(cfg.date_col).alias("_returns_date"), quoted(cfg.target_col))
         merged = target.merge_features_with_returns(df, returns, id_cols=cfg.id_cols, feature_date_col=cfg.date_col, returns_date_col="_returns_date")
         logs = target.summarize_merge(merged, cfg.id_cols, "_returns_date", cfg.date_col, cfg.target_col)
-        out = merged.drop("_returns_date").na.drop()
+        out = held(merged.drop("_returns_date").na.drop())
     out = target.bin_target_column(out, cfg.target_bins, cfg.target_labels, cfg.target_binning_method, cfg.target_col, cfg.id_cols, cfg.date_col, cfg.target_grouping, cfg.target_n_dt, cfg.target_nan_placeholder)
     _note(logger, "target", {"method": cfg.target_binning_method}, logs)
     return out, logs
@@ -99,7 +124,7 @@ def prepared(df: DataFrame, hloc: DataFrame | None, cfg: Config, logger: Pipelin
     out, _ = clean_pipeline(df, cfg, logger)
     out = engineer_pipeline(out, cfg, logger)
     out, _ = target_pipeline(out, cfg, hloc, logger)
-    return data_prep_pipeline(out, cfg, logger)[0]
+    return held(data_prep_pipeline(out, cfg, logger)[0])
 
 
 def split_datasets(df: DataFrame, hloc: DataFrame | None, cfg: Config, date_col: str, logger: PipelineLogger | None = None, n_splits=None, ranges=None, method: str = "fractional", window_frac=None, step_frac=None, fractions=None, overlap: bool = False) -> tuple[list[DataFrame], DataFrame]:
@@ -121,7 +146,7 @@ def split_mining_pipeline(parts: list[DataFrame], cfg: Config, re_mine: bool, ta
     if len(parts) < 2:
         raise ValueError("at least two splits are needed")
     first, _ = mining_pipeline(parts[0], cfg, logger)
-    first = first.cache()
+    first = held(first)
     rest = [mining_pipeline(p, cfg, logger)[0] if re_mine else validate.test_mined_rules(first, p, cfg, target_col) for p in parts[1:]]
     return [first, *rest]
 
@@ -129,7 +154,7 @@ def split_mining_pipeline(parts: list[DataFrame], cfg: Config, re_mine: bool, ta
 def _validated(df, hloc, cfg, target_col, date_col, n_splits, ranges, method, window_frac, step_frac, fractions, overlap, re_mine, logger):
     explicit = fractions if method == "fractional" and not window_frac else None
     parts, log = split_datasets(df, hloc, cfg, date_col, logger, n_splits, ranges if method == "temporal" else None, method, window_frac, step_frac, explicit, overlap)
-    combined = validate.combine_split_results(split_mining_pipeline(parts, cfg, re_mine, target_col, logger))
+    combined = held(validate.combine_split_results(split_mining_pipeline(parts, cfg, re_mine, target_col, logger)))
     return combined, validate.create_validation_log_df(combined, [f"split_{i}" for i in range(len(parts))]), log
 
 
@@ -160,20 +185,22 @@ def wfa_pipeline(df: DataFrame, hloc: DataFrame | None, cfg: Config, logger: Pip
 def bootstrap_pipeline(df: DataFrame, mining_res: DataFrame, cfg: Config, logger: PipelineLogger | None = None, **overrides) -> tuple[DataFrame, DataFrame]:
     cfg = with_overrides(cfg, overrides)
     summary, log = validate.validate_bootstrap(df, mining_res, cfg, cfg.target_col, cfg.n_bootstrap, 42, cfg.resample_method, cfg.block_size, cfg.date_col, cfg.id_cols)
+    summary = held(summary)
     _note(logger, "bootstrap", {"n": cfg.n_bootstrap}, {"log": log})
     return summary, log
 
 
 def null_pipeline(df: DataFrame, mining_res: DataFrame, cfg: Config, logger: PipelineLogger | None = None, **overrides) -> tuple[DataFrame, DataFrame]:
     cfg = with_overrides(cfg, overrides)
-    null_df, log = validate.validate_null(df, mining_res, cfg.target_col, cfg.n_null, cfg.early_stop_metric, cfg.es_m_permutations, cfg.rel_error_threshold)
+    null_df, log = validate.validate_null(df, mining_res, cfg.target_col, cfg.n_null, cfg.early_stop_metric, cfg.es_m_permutations, cfg.rel_error_threshold, save=held)
+    null_df = held(null_df)
     _note(logger, "null", {"n": cfg.n_null}, {"log": log})
     return null_df, log
 
 
 def fdr_pipeline(mining_res: DataFrame, null_df: DataFrame, cfg: Config, logger: PipelineLogger | None = None, **overrides) -> tuple[DataFrame, DataFrame]:
     cfg = with_overrides(cfg, overrides)
-    out = validate.validate_multiple_tests(mining_res, null_df, cfg.early_stop_metric, cfg.fdr_mode, cfg.correction_alpha, cfg.correction_metric)
+    out = held(validate.validate_multiple_tests(mining_res, null_df, cfg.early_stop_metric, cfg.fdr_mode, cfg.correction_alpha, cfg.correction_metric))
     log = validate.summarize_fdr_results(out, "pval", f"{cfg.correction_metric}_significant", cfg.correction_alpha)
     _note(logger, "fdr", {"method": cfg.correction_metric}, {"log": log})
     return out, log
