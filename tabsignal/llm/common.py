@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_saved, saved, scratch, shared_folder
+
+__all__ = ["crc_of_id", "drop_saved", "in_slices", "pick", "positions", "saved", "scratch", "shared_folder", "slices", "text_batches"]
+
 #: Rows in an Arrow batch of long texts; bounds what a Python worker holds.
 TEXT_BATCH_ROWS = 256
 #: Code points that a Python worker works on at a time.
@@ -43,41 +44,6 @@ def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a local one is set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else None
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "tabsignal-shared")
-        spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/tabsignal/{what}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """Write a table under the shared folder and read it: lineage ends there, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Delete a table that :func:`saved` wrote."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id as decimal text; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
