@@ -32,8 +32,8 @@ from .graph import components
 WORDS, SIMILARITY = 5, 0.8
 #: Trees of the forest, depth of a full path, least share of links found.
 TREES, DEPTH, RECALL = 24, 6, 0.99999
-#: Members of a block of a candidate component.
-BLOCK = 512
+#: Members of a block of a candidate component; parts over which a large one's members are spread for lookups.
+BLOCK, SALTS = 512, 64
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -205,8 +205,12 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recal
     nodes = saved(keys.groupBy("tree", "key").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "trie-nodes")
     near = keys.join(nodes, ["tree", "key"]).select(F.col("cls").alias("u"), F.col("least").alias("v"))
     candidates = saved(components(near), "candidates")
-    blocks = candidates.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
-    member = candidates.join(blocks, "component").join(classes.select(F.col("cls").alias("node"), "class_id", "size"), "node")
+    # only large components have several blocks; each of their members looks the number up under one of many salts
+    large = candidates.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks")).filter("n_blocks > 1")
+    large = large.select("component", "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = candidates.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int"))
+    sized = salted.join(large, ["component", "salt"], "left").select("node", "component", F.coalesce("n_blocks", F.lit(1)).cast("bigint").alias("n_blocks"))
+    member = sized.join(classes.select(F.col("cls").alias("node"), "class_id", "size"), "node")
     member = saved(member.select("node", "component", "class_id", "size", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block")), "members")
 
     texts = pick(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
