@@ -34,6 +34,8 @@ TABLE_BYTES = 40_000_000
 LEAST_COUNT = 3
 #: Symbols at most; the rarest bytes share the last.
 SYMBOLS = 120
+#: A text is in none of the languages if more than this share of its bytes cost over eight bits.
+FOREIGN = 0.8
 #: Unknown language.
 UNDETERMINED = "und"
 
@@ -47,11 +49,16 @@ class Model:
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
+        return self._walk(texts)[0]
+
+    def _walk(self, texts: list[bytes], costly: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each text under each language, and how many of its bytes cost more than a byte, if asked."""
         out = np.zeros((len(texts), len(self.langs)))
+        over = np.zeros((len(texts), len(self.langs)))
         sizes = np.array([len(t) for t in texts])
         data = np.frombuffer(b"".join(texts), np.uint8)
         if not len(data):
-            return out
+            return out, over
         symbol = self.symbol[data].astype(np.int32)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         within = np.arange(len(data)) - np.repeat(starts, sizes)
@@ -67,7 +74,9 @@ class Model:
         bits = self.bits.reshape(-1, len(self.langs))[node * width + symbol]
         some = sizes > 0
         out[some] = np.add.reduceat(bits, starts[some], axis=0, dtype=np.float64)
-        return out
+        if costly:
+            over[some] = np.add.reduceat(bits > 8, starts[some], axis=0, dtype=np.float64)
+        return out, over
 
 
 def train(samples: list[tuple[str, str]], order: int = ORDER) -> Model:
@@ -205,12 +214,14 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", foreign: float = FOREIGN) -> DataFrame:
     """The rows whose text is in a learned language, all columns as they are.
 
-    Rejected are texts that are null or without a letter, and those that no
-    language's model codes in fewer bits than the text itself has.  Without a
-    model nothing can be told, and every text with a letter stays.
+    Rejected are texts that are null or without a letter, and those of whose
+    bytes more than the share ``foreign`` cost over eight bits each, the size of
+    a byte, even in the language that fits best.  Short texts with keys, names
+    or numbers inside stay.  Without a model nothing can be told, and every
+    text with a letter stays.
     """
     flat, names = positions(docs)
     text_batches(docs.sparkSession)
@@ -222,10 +233,12 @@ def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") ->
 
         for batch in in_slices(batches, at, 500_000):
             texts = batch.column(at).to_pylist()
-            if held.value is None:
-                good = [t is not None and any(map(str.isalpha, t)) for t in texts]
-            else:
-                good = [x != UNDETERMINED and r < 8 for x, r in zip(*_judge(held.value, texts)[::2])]
+            good = [t is not None and any(map(str.isalpha, t)) for t in texts]
+            if held.value is not None and any(good):
+                raw = [t.encode("utf-8", "replace") if g else b"" for t, g in zip(texts, good)]
+                bits, over = held.value._walk(raw, costly=True)
+                best = bits.argmin(1)
+                good = [g and over[i, best[i]] <= foreign * len(raw[i]) for i, g in enumerate(good)]
             yield batch.filter(pa.array(good))
 
     return flat.mapInArrow(run, flat.schema).toDF(*names)
