@@ -6,6 +6,7 @@ partitions.  Rows that are equal in all columns draw apart by a row id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -119,6 +120,16 @@ def poisson(u: Column, rate: Column, most: int = 60) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["k"])
 
 
+def fixed_poisson(u: Column, rate: float) -> Column:
+    """A Poisson number of a rate known now: how many of its cumulative probabilities a uniform one is above."""
+    term, total, steps = math.exp(-rate), math.exp(-rate), []
+    while 1 - total > 1e-15 and len(steps) < 200:
+        steps.append(total)
+        term *= rate / len(steps)
+        total += term
+    return sum(((u > c).cast("int") for c in steps[1:]), (u > steps[0]).cast("int"))
+
+
 def flip_boolean_values(df: DataFrame, columns: Sequence[str] | None = None, flip_fraction: float = 0.1, seed: int = 42) -> DataFrame:
     """Flip each cell of boolean (or 0 and 1) columns with a probability."""
     if not 0 <= flip_fraction <= 1:

@@ -14,7 +14,7 @@ from ..functions.scalar import quoted
 from .grouping import global_row_number
 from .rules import Rule, condition, parse_rule_text, rule_stats, rule_text
 from .stats import CHUNK, apply_statistic_filters, build_filter_config, condition_counts, with_metrics
-from .synth import poisson, uniform
+from .synth import fixed_poisson, uniform
 
 METRICS = tuple(get_stat_registry())
 KEYS = ("antecedents", "consequents")
@@ -180,7 +180,8 @@ def bootstrap_stats(df: DataFrame, rules: Sequence[Rule], target_col: str, n_boo
     out = None
     for at in range(0, n_bootstrap, batch):
         ks = range(at, min(n_bootstrap, at + batch))
-        weighted = keyed.select("*", *[poisson(uniform(F.col("_key"), random_state, k), F.lit(1.0), 20).alias(f"_w{k}") for k in ks])
+        drawn = keyed.select("*", *[uniform(F.col("_key"), random_state, k).alias(f"_u{k}") for k in ks])
+        weighted = drawn.select("*", *[fixed_poisson(F.col(f"_u{k}"), 1.0).alias(f"_w{k}") for k in ks])
         rows = _metrics_of(_replicate_counts(weighted, rules, target, [F.col(f"_w{k}") for k in ks]), "replicate").withColumn("replicate", F.col("replicate") + at)
         out = rows if out is None else out.unionByName(rows)
     return out

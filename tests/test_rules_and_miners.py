@@ -231,4 +231,6 @@ def test_copula(spark):
 
 def test_poisson(spark):
     got = [r[0] for r in spark.range(20_000).select(synth.poisson(synth.uniform(F.col("id"), 1), F.lit(1.0)).alias("k")).collect()]
+    fixed = [r[0] for r in spark.range(20_000).select(synth.fixed_poisson(synth.uniform(F.col("id"), 1), 1.0).alias("k")).collect()]
+    assert fixed == got
     assert sum(got) / 20_000 == pytest.approx(1, abs=0.03) and got.count(0) / 20_000 == pytest.approx(math.exp(-1), abs=0.02)
