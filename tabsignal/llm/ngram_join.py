@@ -214,7 +214,8 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recal
     member = saved(member.select("node", "component", "class_id", "size", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block")), "members")
 
     texts = pick(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    wanted = texts.join(member, F.col("_id").eqNullSafe(F.col("class_id"))).select("_text", "node", "component", "size", "n_blocks", "block")
+    # the members' size has no bound, so they are not broadcast, at any size
+    wanted = texts.join(member.hint("merge"), F.col("_id").eqNullSafe(F.col("class_id"))).select("_text", "node", "component", "size", "n_blocks", "block")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["node", "component", "size", "n_blocks", "block"]
