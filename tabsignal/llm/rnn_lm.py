@@ -6,8 +6,10 @@ network predicts one of the most frequent words or, for any other word, the
 bucket of its ending; the word's share of its bucket comes from the counts, so
 every token has a probability.  The output is factored: a class first, then a
 member of the class.  Training is truncated backpropagation through time in
-numpy; in training and in scoring the state runs on from window to window, so a
-document's score is the log-likelihood of the whole of it.
+numpy: the driver starts the network on a bounded sample, then tasks read every
+training document in whole, in rounds after each of which their weights are
+averaged by tokens.  In training and in scoring the state runs on from window to
+window, so a document's score is the log-likelihood of the whole of it.
 
 The most frequent words' counts go to all workers (at most HOT words).  Other
 words are counted by a join, each document's words collapsed first, so no key
@@ -16,6 +18,7 @@ of that join is frequent.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import zlib
 from collections import Counter
@@ -34,8 +37,10 @@ HOT = 150_000
 OUTPUTS, BUCKETS, CLASSES = 2048, 256, 64
 #: Network width, window of truncated backpropagation, lanes in training and scoring.
 HIDDEN, WINDOW, TRAIN_LANES, LANES = 24, 20, 64, 256
-#: Training documents of the network: a bounded sample, drawn by a hash of the id.
+#: Documents on which the network is started, drawn by a hash of the id, before it reads all of them.
 SAMPLE_ROWS, UPDATES, RATE = 300, 700, 0.01
+#: Rounds in which all documents are read once, and the rate of the first; weights go to be averaged in pieces of so many.
+ROUNDS, ROUND_RATE, PIECE = 4, 0.003, 4096
 #: Words longer than this many bytes are known by their digest.
 LONG = 48
 #: Tokens that a worker scores at once, and counts that it gathers before it passes them on.
@@ -183,61 +188,80 @@ class Network:
                 out[some] += inner[np.arange(len(some)), member[some]] - top - np.log(np.exp(inner - top[:, None]).sum(1))
         return out
 
-    def _gradient(self, h0: np.ndarray, x: np.ndarray, first: np.ndarray) -> tuple[dict, np.ndarray, float]:
-        """Gradients over one window: x slots (time, lane), first: whether a document begins there."""
+    def _gradient(self, h0: np.ndarray, x: np.ndarray, first: np.ndarray, good: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
+        """Gradients over one window: x slots (time, lane), first: whether a document begins there, good: whether there is a token."""
         p, t_max = self.p, len(x)
         states, steps, h = [], [], h0
         for t in range(t_max):
-            h = np.where(first[t][:, None], np.float32(0), h)
+            if first[t].any():
+                h = np.where(first[t][:, None], np.float32(0), h)
             states.append(h)
             new = self.step(h, x[t])
             steps.append(new)
             h = new[0]
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        hs, slots = np.concatenate(states), x.ravel()
-        n = len(slots)
+        every, slots = np.concatenate(states), x.ravel()
+        order = np.argsort(slots, kind="stable")  # by class, then by member
+        if good is not None:
+            order = order[good.ravel()[order]]
+        hs, slots = every[order], slots[order]
+        n, rows = len(slots), np.arange(len(slots))
         cls, member = slots // self.size, slots % self.size
-        logit = hs @ p["c"] + p["cb"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        prob = e / e.sum(1, keepdims=True)
-        rows = np.arange(n)
+        prob = hs @ p["c"] + p["cb"]
+        prob -= prob.max(1, keepdims=True)
+        np.exp(prob, out=prob)
+        prob /= prob.sum(1, keepdims=True)
         loss = -np.log(prob[rows, cls] + 1e-30).sum()
         prob[rows, cls] -= 1
         prob /= n
         g["c"], g["cb"] = hs.T @ prob, prob.sum(0)
         dh = prob @ p["c"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
         for k in range(CLASSES):
-            some = order[ends[k] : ends[k + 1]]
-            if len(some):
-                inner = hs[some] @ p["o"][k] + p["ob"][k]
-                inner -= inner.max(1, keepdims=True)
-                e = np.exp(inner)
-                q = e / e.sum(1, keepdims=True)
-                at = np.arange(len(some))
-                loss -= np.log(q[at, member[some]] + 1e-30).sum()
-                q[at, member[some]] -= 1
+            i, j = ends[k], ends[k + 1]
+            if i < j:
+                q = hs[i:j] @ p["o"][k] + p["ob"][k]
+                q -= q.max(1, keepdims=True)
+                np.exp(q, out=q)
+                q /= q.sum(1, keepdims=True)
+                at = rows[: j - i]
+                loss -= np.log(q[at, member[i:j]] + 1e-30).sum()
+                q[at, member[i:j]] -= 1
                 q /= n
-                g["o"][k], g["ob"][k] = hs[some].T @ q, q.sum(0)
-                dh[some] += q @ p["o"][k].T
-        dh = dh.reshape(t_max, -1, HIDDEN)
-        after = np.zeros_like(h0)
+                g["o"][k], g["ob"][k] = hs[i:j].T @ q, q.sum(0)
+                dh[i:j] += q @ p["o"][k].T
+        back = np.zeros_like(every)
+        back[order] = dh
+        dh = back.reshape(t_max, -1, HIDDEN)
+        z, r, cand, inner = (np.stack([x[k] for x in steps]) for k in range(1, 5))
+        fz, fn, fr = (every.reshape(z.shape) - cand) * z * (1 - z), (1 - z) * (1 - cand * cand), inner * r * (1 - r)
+        da, after, ut = np.empty((t_max, len(h0), 3 * HIDDEN), fz.dtype), np.zeros_like(h0), np.ascontiguousarray(p["u"].T)
+        dg = np.empty_like(da)
         for t in range(t_max - 1, -1, -1):
-            _, z, r, cand, inner = steps[t]
-            before = states[t]
-            dz = after * (before - cand) * z * (1 - z)
-            dn = after * (1 - z) * (1 - cand * cand)
-            dr = dn * inner * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], 1)
-            dg = np.concatenate([dz, dr, dn * r], 1)
-            np.add.at(g["x"], x[t], da)
-            g["b"] += da.sum(0)
-            g["u"] += before.T @ dg
-            after = after * z + dg @ p["u"].T + dh[t]
-            after[first[t]] = 0
-        return g, h, loss / n
+            dn = after * fn[t]
+            da[t, :, :HIDDEN] = after * fz[t]
+            da[t, :, HIDDEN : 2 * HIDDEN] = dn * fr[t]
+            da[t, :, 2 * HIDDEN :] = dn
+            dg[t] = da[t]
+            dg[t, :, 2 * HIDDEN :] *= r[t]
+            after = after * z[t] + dg[t] @ ut + dh[t]
+            if first[t].any():
+                after[first[t]] = 0
+        da, dg = da.reshape(-1, 3 * HIDDEN), dg.reshape(-1, 3 * HIDDEN)
+        starts = np.flatnonzero(np.diff(slots, prepend=-1))
+        if n:
+            g["x"][slots[starts]] = np.add.reduceat(da[order], starts, axis=0)
+        g["b"], g["u"] = da.sum(0), every.T @ dg
+        return g, h, loss / max(1, n)
+
+    def _adam(self, g: dict, m1: dict, m2: dict, step: int, pace: float) -> None:
+        """One step of Adam, the gradient no longer than 1."""
+        scale = min(1.0, 1.0 / (1e-8 + float(np.sqrt(sum((v * v).sum() for v in g.values())))))
+        for k, v in g.items():
+            v *= np.float32(scale)
+            m1[k] += np.float32(0.1) * (v - m1[k])
+            m2[k] += np.float32(0.01) * (v * v - m2[k])
+            self.p[k] -= np.float32(pace) * (m1[k] / np.float32(1 - 0.9**step)) / (np.sqrt(m2[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
 
     def fit(self, texts: list[np.ndarray], updates: int = UPDATES, rate: float = RATE) -> "Network":
         """Adam over windows; lanes read one document after another, the state running on."""
@@ -259,15 +283,68 @@ class Network:
                 at = 0
             g, h, _ = self._gradient(h, x[at : at + WINDOW], first[at : at + WINDOW])
             at += WINDOW
-            scale = min(1.0, 1.0 / (1e-8 + float(np.sqrt(sum((v * v).sum() for v in g.values())))))
-            pace = rate * (1 - 0.9 * step / updates)
-            for k, v in g.items():
-                v *= np.float32(scale)
-                m1[k] += np.float32(0.1) * (v - m1[k])
-                m2[k] += np.float32(0.01) * (v * v - m2[k])
-                self.p[k] -= np.float32(pace) * (m1[k] / np.float32(1 - 0.9**step)) / (np.sqrt(m2[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+            self._adam(g, m1, m2, step, rate * (1 - 0.9 * step / updates))
         return self
 
+    def read(self, texts: Iterator[np.ndarray], rate: float = ROUND_RATE) -> int:
+        """Adam over every window of every text, once; gives the tokens read.
+
+        A lane takes the next text when its own ends.  Towards the end, when
+        lanes are empty, windows are summed until there is a full one's worth.
+        """
+        texts = (self.slot[t] for t in texts if len(t))
+        m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        held: list[np.ndarray] = []
+        for t in texts:
+            held.append(t)
+            if len(held) == LANES:
+                break
+        lanes = len(held)
+        full, at, h = lanes * WINDOW, [0] * lanes, np.zeros((lanes, HIDDEN), np.float32)
+        total, gathered, summed, step = 0, 0, None, 0
+        while held:
+            x, first, good = np.zeros((len(held), WINDOW), np.int64), np.zeros((len(held), WINDOW), bool), np.zeros((len(held), WINDOW), bool)
+            for k, text in enumerate(held):
+                filled = 0
+                while filled < WINDOW:
+                    i = at[k]
+                    if i >= len(text):
+                        text = next(texts, None)
+                        if text is None:
+                            text = held[k]
+                            break
+                        held[k], i = text, 0
+                    if not i:
+                        first[k, filled] = True
+                    part = text[i : i + WINDOW - filled]
+                    x[k, filled : filled + len(part)] = part
+                    filled += len(part)
+                    at[k] = i + len(part)
+                good[k, :filled] = True
+            live = np.flatnonzero(good[:, 0])
+            if len(live) < len(held):
+                held, at = [held[k] for k in live.tolist()], [at[k] for k in live.tolist()]
+                x, first, good, h = x[live], first[live], good[live], h[live]
+                if not held:
+                    break
+            n = int(good.sum())
+            g, h, _ = self._gradient(h, x.T, first.T, None if n == good.size else good.T)
+            if summed is None:
+                summed, gathered = g, n
+            else:
+                for k, v in g.items():
+                    summed[k] = (summed[k] * np.float32(gathered) + v * np.float32(n)) / np.float32(gathered + n)
+                gathered += n
+            total += n
+            if gathered >= full:
+                step += 1
+                self._adam(summed, m1, m2, step, rate)
+                summed = None
+        if summed is not None:
+            self._adam(summed, m1, m2, step + 1, rate * gathered / full)
+        return total
+
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10-likelihood of each whole text (outputs of the network, the end among them)."""
         out = np.zeros(len(texts))
@@ -319,12 +396,71 @@ def _outputs(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Network:
-    """A network trained on about ``rows`` of the documents, drawn by a hash of the id."""
+    """A network started on about ``rows`` documents, then trained on every document once.
+
+    The start is drawn by a hash of the id.  A round takes its share of the
+    documents, also by a hash; each task trains the weights of the round before
+    on what it reads, and the weights are averaged by tokens.  ``read_tokens``
+    is how many the rounds read.
+    """
     source = pick(docs, id_col, text_col)
     count = source.count()
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     got = sorted(((str(r[0]), r[1] or "") for r in source.filter(draw < min(1.0, rows / max(1, count))).collect()))
-    return Network(vocab.prior).fit([_outputs(vocab, words_of(t))[0] for _, t in got])
+    network = Network(vocab.prior).fit([_outputs(vocab, words_of(t))[0] for _, t in got])
+    network.read_tokens = 0
+    if count:
+        sent = docs.sparkSession.sparkContext.broadcast(vocab)
+        for k in range(ROUNDS):
+            part = source.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(10)), F.lit(ROUNDS)) == k)
+            network.read_tokens += _round(part, text_col, network, sent, ROUND_RATE * (1 - 0.8 * k / ROUNDS))
+        sent.unpersist()
+    return network
+
+
+def _round(docs: DataFrame, text_col: str, network: Network, vocab, rate: float) -> int:
+    """Sets the network's weights to the average of what tasks learn from their documents; gives the tokens read.
+
+    Weights travel in pieces and are summed in the order of the tasks.
+    """
+    import pyarrow as pa
+
+    context = docs.sparkSession.sparkContext
+    start = context.broadcast(network)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        net = copy.deepcopy(start.value)  # a worker's later tasks begin with the same weights
+        texts = (_outputs(vocab.value, words_of(t))[0] for batch in in_slices(batches, 0) for t in batch.column(0).to_pylist())
+        tokens = net.read(texts, rate)
+        if tokens:
+            flat, task = np.concatenate([net.p[k].ravel() for k in sorted(net.p)]).astype(np.float32), TaskContext.get().partitionId()
+            pieces = [flat[i : i + PIECE].tobytes() for i in range(0, len(flat), PIECE)]
+            n = len(pieces)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array([tokens] * n, pa.int64()), pa.array(pieces, pa.binary())], ["piece", "task", "tokens", "weights"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for piece, n, w in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                held = sums.setdefault(piece, [0, 0.0])
+                held[0] += n
+                held[1] = held[1] + n * np.frombuffer(w, np.float32).astype(np.float64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([(w / n).tobytes() for n, w in sums.values()], pa.binary())], ["piece", "tokens", "weights"])
+
+    learned = pick(docs, text_col).mapInArrow(learn, "piece int, task int, tokens long, weights binary")
+    got = sorted(tuple(r) for r in learned.repartition(8, "piece").sortWithinPartitions("piece", "task").mapInArrow(add, "piece int, tokens long, weights binary").collect())
+    start.unpersist()
+    if not got:
+        return 0
+    flat, at = np.concatenate([np.frombuffer(w, np.float64) for *_, w in got]).astype(np.float32), 0
+    for k in sorted(network.p):
+        v = network.p[k]
+        network.p[k] = flat[at : at + v.size].reshape(v.shape)
+        at += v.size
+    return got[0][1]
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -218,3 +218,33 @@ def test_lm_scores(spark, monkeypatch):
     usual = [r for r in got if r["held_out"] and r["n_tokens"] > 20]
     assert usual and sum(r["score"] for r in usual) > sum(r["base_score"] for r in usual)
     assert rnn_lm.score(documents(spark, [])).count() == 0
+
+
+def test_network_reads_every_training_document(spark, monkeypatch):
+    monkeypatch.setattr(rnn_lm, "UPDATES", 5)
+    rows = labelled(6, 60)
+
+    def trained(rows):
+        docs = documents(spark, rows).repartition(3, "doc_id")
+        return rnn_lm.fit(docs, vocab, rows=0)  # nothing to start on: what is learned comes from the rounds
+
+    vocab = rnn_lm.vocabulary(rnn_lm.count_words(documents(spark, rows)))
+    net = trained(rows)
+    assert net.read_tokens == sum(len(t.split()) + 1 for _, t, _ in rows)
+    assert any((net.p[k] != rnn_lm.Network(vocab.prior).p[k]).any() for k in net.p)
+    for at in (0, 59):  # each document leaves its mark
+        other = trained([(i, "ka ro mi" if k == at else t, lang) for k, (i, t, lang) in enumerate(rows)])
+        assert (net.p["x"] != other.p["x"]).any()
+
+
+def test_empty_places_have_no_gradient():
+    r = np.random.default_rng(2)
+    prior = r.random(rnn_lm.OUTPUTS)
+    net = rnn_lm.Network(prior / prior.sum())
+    net.p["o"] = r.standard_normal(net.p["o"].shape).astype(np.float32)
+    x, first, h, good = r.integers(0, rnn_lm.OUTPUTS, (6, 2)), np.zeros((6, 2), bool), np.zeros((2, rnn_lm.HIDDEN), np.float32), np.ones((6, 2), bool)
+    good[2:, 1] = False
+    both = net._gradient(h, x, first, good)[0]
+    long, short = net._gradient(h[:1], x[:, :1], first[:, :1])[0], net._gradient(h[:1], x[:2, 1:], first[:2, 1:])[0]
+    for k in net.p:
+        assert both[k] == pytest.approx((long[k] * 6 + short[k] * 2) / 8, rel=1e-3, abs=1e-6)
