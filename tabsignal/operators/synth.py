@@ -94,11 +94,16 @@ def generate_skewed_proportions(df: DataFrame, target_col: str, power: float = 1
     return raw.crossJoin(F.broadcast(weights)).select("target", (F.col("w") / F.col("sum")).alias("proportion"))
 
 
+#: From this rate on the whole part is not drawn; copies of a row that are made at once.
+POISSON_MOST, COPIES = 16, 10_000
+
+
 def apply_class_imbalance(df: DataFrame, target_col: str, proportions: dict | None = None, random_state: int = 42) -> DataFrame:
     """Rows drawn with replacement so that classes come near the proportions (those of the skew if none are given).
 
     Each row is repeated a Poisson number of times, so the row count varies
-    around the table's.
+    around the table's; from a rate of POISSON_MOST on, the whole part of the
+    rate and a Poisson number of the rest.  There is no upper bound.
     """
     if proportions is None:
         proportions = {r["target"]: r["proportion"] for r in generate_skewed_proportions(df, target_col).collect()}
@@ -110,7 +115,11 @@ def apply_class_imbalance(df: DataFrame, target_col: str, proportions: dict | No
     rates = {c: n * proportions.get(c, 0) / scale / k for c, k in counts.items() if c is not None}
     rate = F.coalesce(F.create_map(*[x for c, v in rates.items() for x in (F.lit(c), F.lit(float(v)))])[quoted(target_col)], F.lit(0.0)) if rates else F.lit(0.0)
     keyed = _keyed(df)
-    return keyed.withColumn("_times", poisson(uniform(F.col("_key"), random_state), rate)).filter("_times > 0").select(*[quoted(c) for c in df.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_r")).drop("_r")
+    whole = F.when(rate < POISSON_MOST, F.lit(0)).otherwise(F.floor(rate)).cast("long")
+    times = whole + poisson(uniform(F.col("_key"), random_state), rate - whole)
+    names = [quoted(c) for c in df.columns]
+    blocks = keyed.withColumn("_times", times).filter("_times > 0").select(*names, "_times", F.explode(F.expr(f"sequence(0L, (_times - 1) div {COPIES})")).alias("_b"))
+    return blocks.select(*names, F.explode(F.expr(f"sequence(1, cast(least({COPIES}, _times - _b * {COPIES}) as int))")).alias("_r")).drop("_r")
 
 
 def poisson(u: Column, rate: Column, most: int = 60) -> Column:

@@ -234,3 +234,15 @@ def test_poisson(spark):
     fixed = [r[0] for r in spark.range(20_000).select(synth.fixed_poisson(synth.uniform(F.col("id"), 1), 1.0).alias("k")).collect()]
     assert fixed == got
     assert sum(got) / 20_000 == pytest.approx(1, abs=0.03) and got.count(0) / 20_000 == pytest.approx(math.exp(-1), abs=0.02)
+
+
+def test_rare_class_is_repeated_without_bound(spark):
+    df = spark.range(40_000).selectExpr("id", "if(id < 20, 'rare', 'common') AS t")
+    got = {r["t"]: r["count"] for r in synth.apply_class_imbalance(df, "t", {"rare": 0.999, "common": 0.001}).groupBy("t").count().collect()}
+    assert got["rare"] == 20 * 1998  # a rate of 1998, over which exp(-rate) is 0
+    df = spark.range(10_000).selectExpr("id", "if(id % 100 = 0, 'rare', 'common') AS t")
+    got = {r["t"]: r["count"] for r in synth.apply_class_imbalance(df, "t").groupBy("t").count().collect()}
+    want = 10_000 * 99**1.5 / (99**1.5 + 1)
+    assert abs(got["rare"] - want) < 60
+    one = spark.range(30_000).selectExpr("id", "if(id = 0, 'rare', 'common') AS t")
+    assert synth.apply_class_imbalance(one, "t", {"rare": 1.0}).groupBy("id").count().collect()[0]["count"] == 30_000
