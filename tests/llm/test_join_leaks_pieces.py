@@ -97,9 +97,57 @@ def test_keep_one(spark):
 
 
 def test_prefixes_shorten_to_the_recall():
-    assert ngram_join.depth_for(0.8, 0.99999) < ngram_join.depth_for(0.8, 0.9) <= ngram_join.DEPTH
-    for k in (ngram_join.depth_for(0.8, 0.99999),):
-        assert 1 - (1 - 0.8**k) ** ngram_join.TREES >= 0.99999
+    r = np.random.default_rng(4)
+    miss, least = ngram_join.misses(0.8), ngram_join.shortest_prefix(0.8, 0.99999)
+    assert 1 <= least < ngram_join.DEPTH
+    sizes = np.sort(r.integers(1, 9, (50, ngram_join.TREES, ngram_join.DEPTH + 1 - least)), axis=2)[:, :, ::-1].copy()
+    sizes[0] = 1  # alone everywhere
+    sizes[1] = 1
+    sizes[1, :4] = 1000 // 4 ** np.arange(sizes.shape[2])  # shorter prefixes of four trees bring in many
+    sizes[2] = 500  # crowded everywhere
+    depth = ngram_join.shorten(sizes, 0.8, 0.99999)
+    assert (miss[depth].sum(1) <= np.log(1e-5) + 1e-9).all() and depth.min() >= least
+    assert (depth[1, :4] == ngram_join.DEPTH).all() and (depth[1, 4:] < ngram_join.DEPTH).any()
+    one_less = ngram_join.shorten(sizes, 0.8, 0.9)
+    assert (one_less >= depth).all() and (one_less > depth).any()
+    with pytest.raises(ValueError):
+        ngram_join.shortest_prefix(0.2, 0.99999)
+
+
+def test_forest_nodes_over_partition_borders(spark):
+    r = np.random.default_rng(3)
+    few = r.integers(0, 3, (400, ngram_join.TREES, ngram_join.DEPTH)).astype(np.int64)
+    few[:150, :, :] = few[0]  # a third of all has the same paths
+    path = sum(few[:, :, j] << (ngram_join.BITS * (ngram_join.DEPTH - 1 - j)) for j in range(ngram_join.DEPTH))
+    rows = [(i.to_bytes(2, "big"), p.tolist()) for i, p in enumerate(path)]
+    frame = spark.createDataFrame(rows, "cls binary, paths array<long>").selectExpr("posexplode(paths) as (tree, path)", "cls")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        forest = ngram_join._sorted(frame, "test-forest")
+        near = ngram_join.company(forest, 2).collect()
+        depths = ngram_join.matched(ngram_join.company(forest, 2), 2, 0.8, 0.99999)
+        seats = ngram_join.buckets(ngram_join._sorted(depths, "test-matched"), 2).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = {}
+    for t in range(ngram_join.TREES):
+        for d in range(2, ngram_join.DEPTH + 1):
+            for i, p in enumerate(path[:, t] >> (ngram_join.BITS * (ngram_join.DEPTH - d))):
+                want.setdefault((t, d, int(p)), []).append(i)
+    assert len(near) > 0
+    for x in near:
+        assert x["sizes"] == [len(want[(x["tree"], d, x["path"] >> (ngram_join.BITS * (ngram_join.DEPTH - d)))]) for d in range(2, ngram_join.DEPTH + 1)]
+    members = Counter(x["bucket"] for x in seats)
+    assert members and all(members[x["bucket"]] == x["n"] for x in seats)
+
+
+def test_different_texts_under_one_id_stay(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta " * 4, "one two three four five six seven " * 4, "red green blue black white grey " * 4)
+    rows = [(1, a), (5, a), (5, b), (7, c)]
+    assert sorted((x["doc_id"], x["text"]) for x in ngram_join.keep_one(frame(spark, rows)).collect()) == [(1, a), (5, b), (7, c)]
+    assert sorted((x["doc_id"], x["text"]) for x in ngram_join.keep_one(frame(spark, [(7, a), (7, b), (7, b)])).collect()) == sorted([(7, a), (7, b)])
+    copies = frame(spark, [(3, a)] * 5 + [(None, b)] * 3)
+    assert [(x["doc_id"], x["text"]) for x in ngram_join.keep_one(copies).orderBy("doc_id").collect()] == [(None, b), (3, a)]
 
 
 def test_components(spark):
