@@ -7,10 +7,10 @@ kinds / (total + kinds) (method C) and is coded by the next shorter context,
 and at last uniformly over the 256 bytes.  The counts are frozen after
 training, so code lengths do not depend on what else is scored.
 
-All trees share their nodes, so one descent through the preceding bytes finds
-the node for every language, and a table gives the code lengths of the next
-byte under all of them.  Bytes that the training texts hardly use share one
-symbol, which is coded uniformly over its members; code lengths stay exact.
+Every context and every byte seen after it is kept.  Contexts are numbers of at
+most four bytes, held in hash tables with the code lengths of the bytes that
+follow, for some languages at a time; what escapes cost from a context down is
+summed beforehand, so a byte takes one or two lookups.
 """
 
 from __future__ import annotations
@@ -24,136 +24,162 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, in_slices, pick, positions, text_batches
 
-#: Longest context in bytes.
+#: Longest context in bytes, at most 4.
 ORDER = 4
 #: Training documents for each language: a bounded sample, drawn by a hash of the id.
 SAMPLE_ROWS = 400
-#: Bytes of the table of code lengths, which bounds the number of contexts.
-TABLE_BYTES = 40_000_000
-#: A context needs so many occurrences.
-LEAST_COUNT = 3
-#: Symbols at most; the rarest bytes share the last.
-SYMBOLS = 120
-#: A text is in none of the languages if more than this share of its bytes cost over eight bits.
-FOREIGN = 0.8
+#: Languages that share a table.
+TOGETHER = 8
+#: A text is in none of the languages if the letters of its words cost over FOREIGN bits a byte in the best one;
+#: texts with fewer such bytes than LETTERS are not judged by that.
+FOREIGN, LETTERS = 7.0, 48
 #: Unknown language.
 UNDETERMINED = "und"
 
+_HASH = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Index:
+    """Places of numbers, by open addressing; a quarter full at most."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(4 * len(keys) + 1).bit_length())
+        self.keys, self.places = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] == -1
+            at, first = np.unique(slot[free], return_index=True)
+            mine = left[free][first]
+            self.keys[at], self.places[at] = keys[mine], mine
+            rest = np.ones(len(left), bool)
+            rest[np.flatnonzero(free)[first]] = False
+            left, slot = left[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _HASH) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 where it is unknown."""
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.places[slot], -1)
+        left = np.flatnonzero((held != keys) & (held != -1))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot]
+            good = held == keys[left]
+            out[left[good]] = self.places[slot[good]]
+            more = ~good & (held != -1)
+            left, slot = left[more], slot[more]
+        return out
+
+
+class _Tables:
+    """Code lengths under some languages."""
+
+    def __init__(self, streams: list[list[bytes]], order: int):
+        n = len(streams)
+        seen: list[list[tuple[np.ndarray, np.ndarray]]] = []  # language, order -> (context and byte, count)
+        for texts in streams:
+            sizes = np.array([len(t) for t in texts], np.int64)
+            data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+            within = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            context, levels = np.zeros(len(data), np.int64), []
+            for k in range(order + 1):
+                if k:
+                    some = np.flatnonzero(within >= k)
+                    context[some] += data[some - k] << (8 * (k - 1))
+                some = within >= k
+                levels.append(np.unique(context[some] << 8 | data[some], return_counts=True))
+            seen.append(levels)
+        pairs, contexts, direct, over, escapes = [], [], [], [], []
+        lower_pairs, lower_bits = np.arange(256), np.full((256, n), 8.0)
+        lower_contexts, lower_escapes = np.zeros(1, np.int64), np.zeros((1, n))
+        for k in range(order + 1):
+            pair = np.unique(np.concatenate([levels[k][0] for levels in seen]))
+            count = np.zeros((len(pair), n))
+            for j, levels in enumerate(seen):
+                count[np.searchsorted(pair, levels[k][0]), j] = levels[k][1]
+            context, of = np.unique(pair >> 8, return_inverse=True)
+            total, kinds = np.zeros((len(context), n)), np.zeros((len(context), n))
+            np.add.at(total, of, count)
+            np.add.at(kinds, of, count > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+                found = -np.log2(count / (total + kinds)[of])
+            shorter = (1 << (8 * max(0, k - 1))) - 1  # a context without its farthest byte
+            below = lower_bits[np.searchsorted(lower_pairs, (pair >> 8 & shorter) << 8 | pair & 255)] if len(pair) else np.zeros((0, n))
+            bits = np.where(count > 0, found, escape[of] + below)
+            down = escape + (lower_escapes[np.searchsorted(lower_contexts, context & shorter)] if k and len(context) else 0.0)
+            pairs.append(pair | (k + 1) << 40)
+            contexts.append(context | (k + 1) << 40)
+            direct.append(bits)
+            over.append(bits - down[of])
+            escapes.append(down)
+            lower_pairs, lower_bits, lower_contexts, lower_escapes = pair, bits, context, down
+        self.order, self.n = order, n
+        self.pairs, self.contexts = _Index(np.concatenate(pairs)), _Index(np.concatenate(contexts))
+        self.direct, self.over, self.escapes = (np.concatenate(x).astype(np.float32) for x in (direct, over, escapes))
+
+    def bits(self, data: np.ndarray, before: np.ndarray, within: np.ndarray) -> np.ndarray:
+        """Code length of each byte under each language; ``before`` has the four bytes before it, the nearest lowest."""
+        out = np.empty((len(data), self.n), np.float32)
+        left, done = np.arange(len(data)), np.zeros(len(data), bool)  # bytes not yet found after a context
+        known = np.full(len(data), -1, np.int32)  # the longest known context of those left
+        have = np.minimum(within, self.order)
+        for k in range(self.order, -1, -1):
+            some = left if k == 0 else left[have[left] >= k]
+            context = before[some] & ((1 << (8 * k)) - 1)
+            place = self.pairs.find((context << 8 | data[some]) | (k + 1) << 40)
+            good = place >= 0
+            hit, place = some[good], place[good]
+            out[hit] = np.where((known[hit] < 0)[:, None], self.direct[place], self.over[place] + self.escapes[known[hit]])
+            missed, context = some[~good], context[~good]
+            new = known[missed] < 0
+            known[missed[new]] = self.contexts.find(context[new] | (k + 1) << 40)
+            done[hit] = True
+            left = left[~done[left]]
+        out[left] = 8 + np.where((known[left] < 0)[:, None], np.float32(0), self.escapes[known[left]] if len(self.escapes) else np.float32(0))
+        return out
+
 
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray  # byte -> symbol
-    child: np.ndarray  # node, preceding symbol -> node or -1
-    bits: np.ndarray  # node, symbol, language -> code length
+    tables: list[_Tables]
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
-        return self._walk(texts)[0]
+        return self.sums(texts, None)
 
-    def _walk(self, texts: list[bytes], costly: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each text under each language, and how many of its bytes cost more than a byte, if asked."""
+    def sums(self, texts: list[bytes], counted: np.ndarray | None) -> np.ndarray:
+        """Bits of the counted bytes (all if None) of each text under each language."""
         out = np.zeros((len(texts), len(self.langs)))
-        over = np.zeros((len(texts), len(self.langs)))
         sizes = np.array([len(t) for t in texts])
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
         if not len(data):
-            return out, over
-        symbol = self.symbol[data].astype(np.int32)
+            return out
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         within = np.arange(len(data)) - np.repeat(starts, sizes)
-        width = self.child.shape[1]
-        child, node = self.child.ravel(), np.zeros(len(data), np.int32)
-        live = np.flatnonzero(within >= 1)
-        for k in range(1, ORDER + 1):
-            nxt = child[node[live] * width + symbol[live - k]]
-            good = nxt >= 0
-            live = live[good]
-            node[live] = nxt[good]
-            live = live[within[live] >= k + 1]
-        bits = self.bits.reshape(-1, len(self.langs))[node * width + symbol]
-        some = sizes > 0
-        out[some] = np.add.reduceat(bits, starts[some], axis=0, dtype=np.float64)
-        if costly:
-            over[some] = np.add.reduceat(bits > 8, starts[some], axis=0, dtype=np.float64)
-        return out, over
+        before = np.zeros(len(data), np.int64)
+        for k in range(1, 5):
+            before[k:] |= data[:-k] << (8 * (k - 1))
+        some, at = sizes > 0, 0
+        for table in self.tables:
+            bits = table.bits(data, before, within)
+            if counted is not None:
+                bits = bits * counted[:, None]
+            out[some, at : at + table.n] = np.add.reduceat(bits, starts[some], axis=0, dtype=np.float64)
+            at += table.n
+        return out
 
 
 def train(samples: list[tuple[str, str]], order: int = ORDER) -> Model:
     """A model of (text, language) pairs."""
     langs = sorted({lang for _, lang in samples})
     streams = {lang: [t.encode("utf-8", "replace") for t, x in samples if x == lang and t] for lang in langs}
-    freq = np.zeros(256, np.int64)
-    for texts in streams.values():
-        for t in texts:
-            freq += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-    used = [b for b in np.argsort(-freq, kind="stable").tolist() if freq[b] > 0][: SYMBOLS - 1]
-    width = len(used) + 1
-    symbol = np.full(256, width - 1, np.int64)
-    symbol[used] = np.arange(len(used))
-    rest = 256 - len(used)
-    nodes = max(1, TABLE_BYTES // (4 * width * max(1, len(langs))))
-
-    # contexts as numbers in base width + 1, the nearest byte lowest; digits are symbol + 1
-    base = width + 1
-    per_lang, total = {}, {}
-    for lang, texts in streams.items():
-        sizes = np.array([len(t) for t in texts], np.int64)
-        sym = symbol[np.frombuffer(b"".join(texts), np.uint8)]
-        within = np.arange(len(sym)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        code, levels = np.zeros(len(sym), np.int64), []
-        for k in range(order + 1):
-            if k:
-                ok = np.flatnonzero(within >= k)
-                code[ok] += (sym[ok - k] + 1) * base ** (k - 1)
-            ok = np.flatnonzero(within >= k)
-            pair, count = np.unique(code[ok] * width + sym[ok], return_counts=True)
-            levels.append((pair, count))
-            ctx, inverse = np.unique(pair // width, return_inverse=True)
-            if k:
-                for c, n in zip(ctx.tolist(), np.bincount(inverse, count).tolist()):
-                    total[(k, c)] = total.get((k, c), 0) + int(n)
-        per_lang[lang] = levels
-
-    # nodes: the most frequent contexts of which the shorter one is a node too
-    index, child_rows = {(0, 0): 0}, [np.full(width, -1, np.int32)]
-    parents = [0]
-    ranked = sorted((x for x in total.items() if x[1] >= LEAST_COUNT), key=lambda x: (-x[1], x[0]))[: max(0, nodes - 1)]
-    for (k, c), _ in sorted(ranked, key=lambda x: x[0][0]):
-        top = base ** (k - 1)
-        above = index.get((k - 1, c % top))
-        if above is None:
-            continue
-        index[(k, c)] = n = len(child_rows)
-        child_rows.append(np.full(width, -1, np.int32))
-        parents.append(above)
-        child_rows[above][c // top - 1] = n
-    child, parent = np.stack(child_rows), np.array(parents)
-    depth = np.zeros(len(parents), np.int64)
-    for (k, _), n in index.items():
-        depth[n] = k
-
-    prob = np.zeros((len(parents), width, len(langs)))
-    for j, lang in enumerate(langs):
-        counts = np.zeros((len(parents), width))
-        for k, (pair, count) in enumerate(per_lang[lang]):
-            ctx = pair // width
-            names, inverse = np.unique(ctx, return_inverse=True)
-            at = np.array([index.get((k, c), -1) for c in names.tolist()], np.int64)[inverse] if len(names) else np.zeros(0, np.int64)
-            ok = at >= 0
-            counts[at[ok], (pair % width)[ok]] = count[ok]
-        all_of, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        uniform = np.full(width, 1 / 256)
-        uniform[-1] = rest / 256
-        for k in range(order + 1):
-            rows = np.flatnonzero(depth == k)
-            lower = uniform[None, :] if k == 0 else prob[parent[rows], :, j]
-            t, d, c = all_of[rows], kinds[rows], counts[rows]
-            seen = np.divide(c, t + d, out=np.zeros_like(c), where=t > 0)
-            escape = np.divide(d, t + d, out=np.ones_like(t), where=t > 0)
-            prob[rows, :, j] = np.where(c > 0, seen, escape * lower)
-    prob[:, -1, :] /= rest  # the shared symbol's members are coded uniformly
-    return Model(langs, symbol.astype(np.int64), child, (-np.log2(np.maximum(prob, 1e-30))).astype(np.float32))
+    return Model(langs, [_Tables([streams[x] for x in langs[i : i + TOGETHER]], order) for i in range(0, len(langs), TOGETHER)])
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model | None:
@@ -161,7 +187,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     Rows with a null text or language are left out; None where nothing is left.
     The sample's bound is the number of languages times ``rows`` (and a
-    twentieth); contexts of the model are bounded by TABLE_BYTES.
+    twentieth); the model's size follows the sample's, some 5 MB a language.
     """
     source = pick(labelled, id_col, text_col, lang_col).filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in source.groupBy(lang_col).count().collect()}
@@ -214,14 +240,35 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", foreign: float = FOREIGN) -> DataFrame:
+def word_letters(texts: list[bytes]) -> np.ndarray:
+    """Which bytes of the joined texts are letters of words: of runs between white space without digits or ``_@/=``."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    kind = _KINDS[data]
+    space = kind == 0
+    token = np.cumsum(space)
+    odd = np.bincount(token, kind == 2, minlength=int(token[-1]) + 1 if len(token) else 1) > 0
+    good = (kind == 1) & ~odd[token]
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1  # the white space between texts
+    inside = np.ones(len(data), bool)
+    inside[ends] = False
+    return good[inside]
+
+
+#: White space 0, letters 1 (every byte above ASCII with them), marks that words do not have 2, other marks 3.
+_KINDS = np.array([0 if chr(b).isspace() else 1 if b > 127 or chr(b).isalpha() else 2 if chr(b).isdigit() or chr(b) in "_@/=" else 3 for b in range(256)], np.uint8)
+_KINDS[128:] = 1
+
+
+def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", foreign: float = FOREIGN, letters: int = LETTERS) -> DataFrame:
     """The rows whose text is in a learned language, all columns as they are.
 
-    Rejected are texts that are null or without a letter, and those of whose
-    bytes more than the share ``foreign`` cost over eight bits each, the size of
-    a byte, even in the language that fits best.  Short texts with keys, names
-    or numbers inside stay.  Without a model nothing can be told, and every
-    text with a letter stays.
+    Rejected are texts that are null or without a letter, and those that the
+    best language explains badly: the letters of their words cost more than
+    ``foreign`` bits a byte on average even there.  Texts in a learned language
+    take two to six, other languages, other scripts and gibberish nine and
+    more (a byte by itself is eight, and every escape is paid on top).  Keys, numbers and addresses are left out
+    of that sum, and texts with fewer than ``letters`` such bytes are too short
+    to be judged by it and stay.  Without a model every text with a letter stays.
     """
     flat, names = positions(docs)
     text_batches(docs.sparkSession)
@@ -236,14 +283,23 @@ def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", for
             good = [t is not None and any(map(str.isalpha, t)) for t in texts]
             if held.value is not None and any(good):
                 raw = [t.encode("utf-8", "replace") if g else b"" for t, g in zip(texts, good)]
-                bits, over = held.value._walk(raw, costly=True)
-                best = bits.argmin(1)
-                good = [g and over[i, best[i]] <= foreign * len(raw[i]) for i, g in enumerate(good)]
+                rate, size = word_bits(held.value, raw)
+                good = [g and not (n >= letters and x > foreign) for g, x, n in zip(good, rate.tolist(), size.tolist())]
             yield batch.filter(pa.array(good))
 
     return flat.mapInArrow(run, flat.schema).toDF(*names)
 
 
+def word_bits(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bits a byte of the letters of words under the best language, and the number of such bytes."""
+    counted = word_letters(texts)
+    sizes = np.array([len(t) for t in texts])
+    n = np.zeros(len(texts))
+    some = sizes > 0
+    n[some] = np.add.reduceat(counted.astype(np.int64), (np.cumsum(sizes) - sizes)[some]) if some.any() else 0
+    return model.sums(texts, counted).min(1) / np.maximum(n, 1), n
+
+
 def identify(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Predictions for all rows by a model of the rows outside fold 0.
 
