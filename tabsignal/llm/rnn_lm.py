@@ -29,14 +29,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, in_slices, pick, saved, text_batches
+from .common import crc_of_id, in_slices, pick, saved, scratch, text_batches
 
 #: Words whose counts are sent to all workers, at most.
 HOT = 150_000
 #: Outputs: frequent words and ending buckets, in classes of equal size.
-OUTPUTS, BUCKETS, CLASSES = 2048, 256, 64
+OUTPUTS, BUCKETS, CLASSES = 1536, 256, 48
 #: Network width, window of truncated backpropagation, lanes in training and scoring.
-HIDDEN, WINDOW, TRAIN_LANES, LANES = 24, 20, 64, 256
+HIDDEN, WINDOW, TRAIN_LANES, LANES = 20, 20, 64, 256
 #: Documents on which the network is started, drawn by a hash of the id, before it reads all of them.
 SAMPLE_ROWS, UPDATES, RATE = 300, 700, 0.01
 #: Rounds in which all documents are read once, and the rate of the first; weights go to be averaged in pieces of so many.
@@ -136,7 +136,17 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.tanh(x * x.dtype.type(0.5))
+    x += 1
+    x *= x.dtype.type(0.5)
+    return x
+
+
+def _exponents(logits: np.ndarray, bounded: bool) -> np.ndarray:
+    """exp in place, less the row's largest unless no logit can be out of range."""
+    if not bounded:
+        logits -= logits.max(1, keepdims=True)
+    return np.exp(logits, out=logits)
 
 
 class Network:
@@ -163,29 +173,40 @@ class Network:
     def step(self, h: np.ndarray, tokens: np.ndarray) -> tuple:
         """New state; tokens are slots."""
         p = self.p
-        a = p["x"][tokens] + p["b"]
+        a = p["x"][tokens]
+        a += p["b"]
         g = h @ p["u"]
-        z = _sigmoid(a[:, :HIDDEN] + g[:, :HIDDEN])
-        r = _sigmoid(a[:, HIDDEN : 2 * HIDDEN] + g[:, HIDDEN : 2 * HIDDEN])
+        gates = _sigmoid(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
+        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
         n = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
         return n + z * (h - n), z, r, n, g[:, 2 * HIDDEN :]
 
+    def _bounded(self) -> bool:
+        """Whether every logit lies within what exp can hold; states are between -1 and 1."""
+        p = self.p
+        return max(np.abs(p["cb"]).max() + np.abs(p["c"]).sum(0).max(), np.abs(p["ob"]).max() + np.abs(p["o"]).sum(1).max()) < 80
+
     def log_prob(self, h: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Natural log-probability of each slot after state h."""
         p = self.p
         cls, member = slots // self.size, slots % self.size
-        logit = h @ p["c"] + p["cb"]
-        rows = np.arange(len(slots))
-        top = logit.max(1)
-        out = logit[rows, cls] - top - np.log(np.exp(logit - top[:, None]).sum(1))
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        bounded, rows = self._bounded(), np.arange(len(slots))
+        order = np.argsort(slots, kind="stable")
+        h, cls, member = h[order], cls[order], member[order]
+        share = h @ p["c"]
+        share += p["cb"]
+        _exponents(share, bounded)
+        chance = np.log(share[rows, cls] / share.sum(1) + 1e-30)
+        ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
         for k in range(CLASSES):
-            some = order[ends[k] : ends[k + 1]]
-            if len(some):
-                inner = h[some] @ p["o"][k] + p["ob"][k]
-                top = inner.max(1)
-                out[some] += inner[np.arange(len(some)), member[some]] - top - np.log(np.exp(inner - top[:, None]).sum(1))
+            i, j = ends[k], ends[k + 1]
+            if i < j:
+                inner = h[i:j] @ p["o"][k]
+                inner += p["ob"][k]
+                _exponents(inner, bounded)
+                chance[i:j] += np.log(inner[rows[: j - i], member[i:j]] / inner.sum(1) + 1e-30)
+        out = np.empty(len(slots), chance.dtype)
+        out[order] = chance
         return out
 
     def _gradient(self, h0: np.ndarray, x: np.ndarray, first: np.ndarray, good: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
@@ -207,9 +228,10 @@ class Network:
         hs, slots = every[order], slots[order]
         n, rows = len(slots), np.arange(len(slots))
         cls, member = slots // self.size, slots % self.size
-        prob = hs @ p["c"] + p["cb"]
-        prob -= prob.max(1, keepdims=True)
-        np.exp(prob, out=prob)
+        bounded = self._bounded()
+        prob = hs @ p["c"]
+        prob += p["cb"]
+        _exponents(prob, bounded)
         prob /= prob.sum(1, keepdims=True)
         loss = -np.log(prob[rows, cls] + 1e-30).sum()
         prob[rows, cls] -= 1
@@ -220,9 +242,9 @@ class Network:
         for k in range(CLASSES):
             i, j = ends[k], ends[k + 1]
             if i < j:
-                q = hs[i:j] @ p["o"][k] + p["ob"][k]
-                q -= q.max(1, keepdims=True)
-                np.exp(q, out=q)
+                q = hs[i:j] @ p["o"][k]
+                q += p["ob"][k]
+                _exponents(q, bounded)
                 q /= q.sum(1, keepdims=True)
                 at = rows[: j - i]
                 loss -= np.log(q[at, member[i:j]] + 1e-30).sum()
@@ -395,13 +417,63 @@ def _outputs(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
     return output, place
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Network:
-    """A network started on about ``rows`` documents, then trained on every document once.
+def tokenise(docs: DataFrame, vocab, part, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row as the network reads it: id, row (its own number), counts by the hot words, outputs, other words; by ``part``.
 
-    The start is drawn by a hash of the id.  A round takes its share of the
-    documents, also by a hash; each task trains the weights of the round before
-    on what it reads, and the weights are averaged by tokens.  ``read_tokens``
-    is how many the rounds read.
+    The table is written to the shared folder once and read by every round and
+    by the scoring.
+    """
+    import pyarrow as pa
+
+    source = pick(docs, id_col, text_col).withColumn("_part", part)
+    cold_type = pa.list_(pa.struct([("word", pa.string()), ("bucket", pa.int32()), ("times", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        known_words, serial = vocab.value, TaskContext.get().partitionId() << 36
+        for batch in in_slices(batches, 1):
+            n, known, base, rest, outputs, cold, times, ends = [], [], [], [], [], [], [], [0]
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                output, place = _outputs(known_words, words)
+                is_hot = place >= 0
+                hot = place[is_hot]
+                words.append(END)
+                strange = Counter(words[k] for k in np.flatnonzero(~is_hot).tolist())
+                n.append(len(words))
+                known.append(len(hot))
+                base.append(float(known_words.log_count[hot].sum()) if len(hot) else 0.0)
+                rest.append(float(known_words.rest[hot].sum()) if len(hot) else 0.0)
+                cold += strange
+                times += strange.values()
+                ends.append(len(cold))
+                outputs.append(output.astype(np.uint16).tobytes())
+            rows = pa.array(range(serial, serial + len(n)), pa.int64())
+            serial += len(n)
+            others = pa.StructArray.from_arrays([pa.array([w.decode() for w in cold], pa.string()), pa.array(list(map(bucket, cold)), pa.int32()), pa.array(times, pa.int32())], ["word", "bucket", "times"])
+            columns = [batch.column(0), rows, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rest, pa.float64()), pa.array(outputs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others).cast(cold_type), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "n_tokens", "known", "base", "rest", "outputs", "cold", "part"])
+
+    kind = source.schema[id_col].dataType.simpleString()
+    made = source.mapInArrow(run, f"id {kind}, row long, n_tokens long, known long, base double, rest double, outputs binary, cold array<struct<word:string,bucket:int,times:int>>, part int")
+    path = scratch(docs.sparkSession, "tokens")
+    made.write.partitionBy("part").parquet(path)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def round_of(id_col: str):
+    """The round in which a training document is read."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(10)), F.lit(ROUNDS)).cast("int")
+
+
+def fit(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, tokens: DataFrame | None = None) -> Network:
+    """A network started on about ``rows`` of the training documents ``docs``, then trained on all of them once.
+
+    The start is drawn by a hash of the id.  Round k reads the part k of
+    ``tokens`` (:func:`tokenise`, made here if not given); each of its tasks trains the weights of the round before on
+    what it reads, and the weights are averaged by tokens.  ``read_tokens`` is
+    how many the rounds read.
     """
     source = pick(docs, id_col, text_col)
     count = source.count()
@@ -410,35 +482,34 @@ def fit(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: st
     network = Network(vocab.prior).fit([_outputs(vocab, words_of(t))[0] for _, t in got])
     network.read_tokens = 0
     if count:
-        sent = docs.sparkSession.sparkContext.broadcast(vocab)
+        if tokens is None:
+            text_batches(docs.sparkSession)
+            tokens = tokenise(source, docs.sparkSession.sparkContext.broadcast(vocab), round_of(id_col), id_col, text_col)
         for k in range(ROUNDS):
-            part = source.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(10)), F.lit(ROUNDS)) == k)
-            network.read_tokens += _round(part, text_col, network, sent, ROUND_RATE * (1 - 0.8 * k / ROUNDS))
-        sent.unpersist()
+            network.read_tokens += _round(tokens.filter(F.col("part") == k).select("outputs"), network, ROUND_RATE * (1 - 0.8 * k / ROUNDS))
     return network
 
 
-def _round(docs: DataFrame, text_col: str, network: Network, vocab, rate: float) -> int:
+def _round(tokens: DataFrame, network: Network, rate: float) -> int:
     """Sets the network's weights to the average of what tasks learn from their documents; gives the tokens read.
 
     Weights travel in pieces and are summed in the order of the tasks.
     """
     import pyarrow as pa
 
-    context = docs.sparkSession.sparkContext
+    context = tokens.sparkSession.sparkContext
     start = context.broadcast(network)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         net = copy.deepcopy(start.value)  # a worker's later tasks begin with the same weights
-        texts = (_outputs(vocab.value, words_of(t))[0] for batch in in_slices(batches, 0) for t in batch.column(0).to_pylist())
-        tokens = net.read(texts, rate)
-        if tokens:
+        n = net.read((np.frombuffer(t, np.uint16) for batch in batches for t in batch.column(0).to_pylist()), rate)
+        if n:
             flat, task = np.concatenate([net.p[k].ravel() for k in sorted(net.p)]).astype(np.float32), TaskContext.get().partitionId()
             pieces = [flat[i : i + PIECE].tobytes() for i in range(0, len(flat), PIECE)]
-            n = len(pieces)
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array([tokens] * n, pa.int64()), pa.array(pieces, pa.binary())], ["piece", "task", "tokens", "weights"])
+            k = len(pieces)
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([task] * k, pa.int32()), pa.array([n] * k, pa.int64()), pa.array(pieces, pa.binary())], ["piece", "task", "tokens", "weights"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
@@ -450,7 +521,7 @@ def _round(docs: DataFrame, text_col: str, network: Network, vocab, rate: float)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([(w / n).tobytes() for n, w in sums.values()], pa.binary())], ["piece", "tokens", "weights"])
 
-    learned = pick(docs, text_col).mapInArrow(learn, "piece int, task int, tokens long, weights binary")
+    learned = tokens.mapInArrow(learn, "piece int, task int, tokens long, weights binary")
     got = sorted(tuple(r) for r in learned.repartition(8, "piece").sortWithinPartitions("piece", "task").mapInArrow(add, "piece int, tokens long, weights binary").collect())
     start.unpersist()
     if not got:
@@ -480,54 +551,37 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
     learn = source.filter(fold != held)
     counts = saved(count_words(learn, text_col), "word-counts")
     vocab = vocabulary(counts)
-    sent = spark.sparkContext.broadcast((vocab, fit(learn, vocab, id_col, text_col)))
+    words = spark.sparkContext.broadcast(vocab)
+    part = F.when(fold == held, F.lit(ROUNDS)).otherwise(round_of(id_col)).cast("int")
+    tokens = tokenise(source, words, part, id_col, text_col)
+    sent = spark.sparkContext.broadcast(fit(learn, vocab, id_col, text_col, tokens=tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        vocab, network = sent.value
-        serial = TaskContext.get().partitionId() << 36
-        ready, tokens, waiting = [], [], 0
-        cold_type = pa.list_(pa.struct([("word", pa.string()), ("bucket", pa.int32()), ("times", pa.int32())]))
+        network, names = sent.value, ["id", "row", "n_tokens", "known", "base", "gained"]
+        ready, waiting = [], 0
 
         def flush():
-            nonlocal ready, tokens, waiting
-            found = network.score(tokens)
+            nonlocal ready, waiting
+            found = network.score([np.frombuffer(t, np.uint16) for batch in ready for t in batch.column(6).to_pylist()])
             at, out = 0, []
-            for ids, row, n, known, base, rest, cold in ready:
-                gained = found[at : at + len(ids)] + np.array(rest)
-                at += len(ids)
-                out.append(pa.RecordBatch.from_arrays([ids, pa.array(row, pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(gained, pa.float64()), cold], ["id", "row", "n_tokens", "known", "base", "gained", "cold"]))
-            ready, tokens, waiting = [], [], 0
+            for batch in ready:
+                gained = found[at : at + batch.num_rows] + batch.column(5).to_numpy()
+                at += batch.num_rows
+                out.append(pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(gained, pa.float64())], names))
+            ready, waiting = [], 0
             return out
 
-        for batch in in_slices(batches, 1):
-            row, n, known, base, rest, cold = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                output, place = _outputs(vocab, words)
-                is_hot = place >= 0
-                hot = place[is_hot]
-                words.append(END)
-                strange = Counter(words[k] for k in np.flatnonzero(~is_hot).tolist())
-                row.append(serial)
-                serial += 1
-                n.append(len(words))
-                known.append(len(hot))
-                base.append(float(vocab.log_count[hot].sum()) if len(hot) else 0.0)
-                rest.append(float(vocab.rest[hot].sum()) if len(hot) else 0.0)
-                cold.append([{"word": w.decode(), "bucket": bucket(w), "times": k} for w, k in strange.items()])
-                tokens.append(output.astype(np.int32))
-                waiting += len(words)
-            ready.append((batch.column(0), row, n, known, base, rest, pa.array(cold, cold_type)))
+        for batch in batches:
+            ready.append(batch)
+            waiting += sum(batch.column(2).to_pylist())
             if waiting > BUFFER_TOKENS:
                 yield from flush()
         if ready:
             yield from flush()
 
     kind = source.schema[id_col].dataType.simpleString()
-    scored = saved(source.mapInArrow(run, f"id {kind}, row long, n_tokens long, known long, base double, gained double, cold array<struct<word:string,bucket:int,times:int>>"), "scored")
-    cold = scored.select("row", F.explode("cold").alias("c")).select("row", "c.word", "c.bucket", "c.times").join(counts.select("word", "n"), "word", "left")
+    scored = tokens.select("id", "row", "n_tokens", "known", "base", "rest", "outputs").mapInArrow(run, f"id {kind}, row long, n_tokens long, known long, base double, gained double")
+    cold = tokens.select("row", F.explode("cold").alias("c")).select("row", "c.word", "c.bucket", "c.times").join(counts.select("word", "n"), "word", "left")
     mass = F.element_at(F.array(*[F.lit(float(x)) for x in vocab.log_mass]), F.col("bucket") + 1)
     log_count = F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))
     cold = cold.groupBy("row").agg(
@@ -535,7 +589,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
         F.sum(F.col("times") * (log_count - mass)).alias("cold_gained"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("cold_known"),
     )
-    both = scored.drop("cold").join(cold, "row", "left")
+    both = scored.join(cold, "row", "left")
     zero = F.lit(0.0)
     every = float(np.log10(vocab.total + vocab.distinct + 1))
     return both.select(
