@@ -41,6 +41,8 @@ HIDDEN, WINDOW, TRAIN_LANES, LANES = 20, 20, 64, 256
 SAMPLE_ROWS, UPDATES, RATE = 300, 700, 0.01
 #: Rounds in which all documents are read once, and the rate of the first; weights go to be averaged in pieces of so many.
 ROUNDS, ROUND_RATE, PIECE = 4, 0.003, 4096
+#: Tokens of a text that one lane reads in training; scoring never cuts a text.
+SPAN = 2000
 #: Words longer than this many bytes are known by their digest.
 LONG = 48
 #: Tokens that a worker scores at once, and counts that it gathers before it passes them on.
@@ -61,6 +63,31 @@ def bucket(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % BUCKETS
 
 
+def _coded(texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """:func:`words_of` for an Arrow column: different words, then the number of each word and where each text begins.
+
+    Each text is followed by the end token; the last of the borders is the length.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat = lists.flatten().dictionary_encode()
+    codes, different = flat.indices.to_numpy().astype(np.int64), flat.dictionary.cast(pa.large_binary()).to_pylist()
+    size = np.diff(lists.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(size)), size)
+    if b"" in different:  # before leading and after trailing white space
+        real = codes != different.index(b"")
+        codes, owner = codes[real], owner[real]
+    size = np.bincount(owner, minlength=len(size))
+    if any(len(w) > LONG for w in different):
+        different = [w if len(w) <= LONG else b" " + hashlib.sha256(w).hexdigest().encode() for w in different]
+    different.append(END)
+    return different, np.insert(codes, np.cumsum(size), len(different) - 1), np.concatenate([[0], np.cumsum(size + 1)])
+
+
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word, bucket, n over all rows; counts are summed in each task before they are sent."""
     import pyarrow as pa
@@ -77,9 +104,10 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
             return out
 
         for batch in in_slices(batches, 0):
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-            held[END] += batch.num_rows
+            different, codes, _ = _coded(batch.column(0))
+            times = np.bincount(codes, minlength=len(different))
+            for k in np.flatnonzero(times).tolist():
+                held[different[k]] += int(times[k])
             if len(held) > GATHER:
                 yield pour()
         if held:
@@ -311,10 +339,12 @@ class Network:
     def read(self, texts: Iterator[np.ndarray], rate: float = ROUND_RATE) -> int:
         """Adam over every window of every text, once; gives the tokens read.
 
-        A lane takes the next text when its own ends.  Towards the end, when
+        A lane takes the next text when its own ends; the state runs on from
+        window to window, and a very long text is read in several lanes, SPAN
+        tokens in each.  Towards the end, when
         lanes are empty, windows are summed until there is a full one's worth.
         """
-        texts = (self.slot[t] for t in texts if len(t))
+        texts = (self.slot[t[i : i + SPAN]] for t in texts for i in range(0, len(t), SPAN))
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         held: list[np.ndarray] = []
@@ -433,26 +463,29 @@ def tokenise(docs: DataFrame, vocab, part, id_col: str = "doc_id", text_col: str
 
         known_words, serial = vocab.value, TaskContext.get().partitionId() << 36
         for batch in in_slices(batches, 1):
-            n, known, base, rest, outputs, cold, times, ends = [], [], [], [], [], [], [], [0]
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                output, place = _outputs(known_words, words)
-                is_hot = place >= 0
-                hot = place[is_hot]
-                words.append(END)
-                strange = Counter(words[k] for k in np.flatnonzero(~is_hot).tolist())
-                n.append(len(words))
-                known.append(len(hot))
-                base.append(float(known_words.log_count[hot].sum()) if len(hot) else 0.0)
-                rest.append(float(known_words.rest[hot].sum()) if len(hot) else 0.0)
-                cold += strange
-                times += strange.values()
-                ends.append(len(cold))
-                outputs.append(output.astype(np.uint16).tobytes())
+            different, codes, border = _coded(batch.column(1))
+            place = known_words.place(different)
+            is_hot, code = place >= 0, np.maximum(place, 0)
+            buckets = np.array([-1 if h else bucket(w) for w, h in zip(different, is_hot.tolist())], np.int64)
+            some = len(known_words.output) > 0
+            outputs = np.where(is_hot, known_words.output[code] if some else 0, OUTPUTS - BUCKETS + buckets).astype(np.uint16)[codes]
+
+            def sums(values: np.ndarray) -> np.ndarray:
+                run = np.concatenate([[0], np.cumsum(np.where(is_hot, values, 0)[codes])])
+                return run[border[1:]] - run[border[:-1]]
+
+            n = np.diff(border)
+            base, rest = (sums(x[code] if some else np.zeros(len(code))) for x in (known_words.log_count, known_words.rest))
+            owner = np.repeat(np.arange(len(n)), n)
+            strange = ~is_hot[codes]
+            pair, times = np.unique(owner[strange] << 32 | codes[strange], return_counts=True)
+            word = pair & 0xFFFFFFFF
+            others = pa.StructArray.from_arrays([pa.array(different, pa.binary()).take(pa.array(word)).cast(pa.string()), pa.array(buckets[word], pa.int32()), pa.array(times, pa.int32())], ["word", "bucket", "times"])
+            ends = np.searchsorted(pair >> 32, np.arange(len(n) + 1))
             rows = pa.array(range(serial, serial + len(n)), pa.int64())
             serial += len(n)
-            others = pa.StructArray.from_arrays([pa.array([w.decode() for w in cold], pa.string()), pa.array(list(map(bucket, cold)), pa.int32()), pa.array(times, pa.int32())], ["word", "bucket", "times"])
-            columns = [batch.column(0), rows, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rest, pa.float64()), pa.array(outputs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others).cast(cold_type), batch.column(2)]
+            packed = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((2 * border).astype(np.int64)), pa.py_buffer(outputs.tobytes())]).cast(pa.binary())
+            columns = [batch.column(0), rows, pa.array(n, pa.int64()), pa.array(sums(np.ones(len(code))).astype(np.int64), pa.int64()), pa.array(base, pa.float64()), pa.array(rest, pa.float64()), packed, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others).cast(cold_type), batch.column(2)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "row", "n_tokens", "known", "base", "rest", "outputs", "cold", "part"])
 
     kind = source.schema[id_col].dataType.simpleString()

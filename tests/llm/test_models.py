@@ -273,6 +273,16 @@ def test_network_reads_every_training_document(spark, monkeypatch):
         assert (net.p["x"] != other.p["x"]).any()
 
 
+def test_words_of_columns():
+    import pyarrow as pa
+
+    texts = ["  Ab\tab É\x0bé \n", None, "", "x" * 60 + " " + "Y" * 49, "a\u00a0b c\u2003d \x1c e", " "]
+    different, codes, border = rnn_lm._coded(pa.array(texts))
+    assert len(border) == len(texts) + 1
+    for t, a, b in zip(texts, border, border[1:]):
+        assert [different[k] for k in codes[a:b]] == [*rnn_lm.words_of(t), rnn_lm.END]
+
+
 def test_empty_places_have_no_gradient():
     r = np.random.default_rng(2)
     prior = r.random(rnn_lm.OUTPUTS)
