@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame
 from .common import in_slices, pick, text_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is never text of the page.
-RAW = frozenset("script style noscript template title textarea svg iframe object select button math canvas audio video head".split())
+#: Their content is never text of the page: code, metadata, controls of forms, what stands in for media.
+RAW = frozenset("script style noscript template title textarea svg iframe select button canvas audio video head annotation annotation-xml datalist rp".split())
 #: Raw elements whose end is sought in the source, since markup inside does not count.
 OPAQUE = frozenset("script style title textarea iframe noscript".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+#: All other elements, unknown ones with them, belong to the line they stand in, as in browsers.
+BLOCK = frozenset(
+    "address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
+    "legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 #: A start tag ends an open element of these, up to the scope given.
 IMPLIED = {
@@ -42,6 +45,7 @@ IMPLIED = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
+_CELLS = frozenset("tr td th tbody thead tfoot caption".split())
 GROUPS = ("p", "heading", "list", "li", "div", "section", "article", "main", "nav", "aside", "header", "footer", "form", "table", "quote", "body")
 _GROUP = {f"h{i}": "heading" for i in range(1, 7)} | dict.fromkeys(("ul", "ol", "dl", "menu"), "list") | dict.fromkeys(("li", "dt", "dd"), "li")
 _GROUP |= dict.fromkeys(("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"), "table") | dict.fromkeys(("blockquote", "pre", "figure", "figcaption"), "quote")
@@ -58,8 +62,11 @@ TOKENS = {
     "form": "form login search signin register contact input field poll survey",
 }
 _TOKEN = {word: k for k, words in enumerate(TOKENS.values()) for word in words.split()}
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: An attribute as browsers read it: quotes count only right after the equals sign, an unquoted value ends at white space or >.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+"""
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*+(?:>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)|<", re.S)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+|'[^']*+|[^\s>"'][^\s>]*+))?+["']?""")
+_TELLING = frozenset(("class", "id", "role", "itemprop", "aria-label"))
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _MARK = re.compile(r"[.,;:!?]")
 
@@ -78,8 +85,8 @@ class Node:
 @functools.lru_cache(4096)
 def _tokens(attributes: str) -> tuple[int, ...]:
     found = set()
-    for _, value in _ATTR.findall(attributes):
-        for word in _WORD.findall(value):
+    for name, value in _ATTR.findall(attributes):
+        for word in _WORD.findall(value) if name.lower() in _TELLING else ():
             k = _TOKEN.get(word.lower())
             if k is not None:
                 found.add(k)
@@ -91,37 +98,70 @@ def parse(source: str) -> tuple[list[Node], list[str]]:
     root = Node("html", None, ())
     nodes, texts = [root], []
     stack: list[tuple[str, Node | None]] = [("html", root)]  # inline elements have no node
+    blocks = [root]  # the open ones
+    opened: Counter = Counter()  # open elements by tag
     run: list[str] = []
     linked = hidden = 0  # open links and open raw elements
 
     def flush() -> None:
         nonlocal run
         if run:
-            text = " ".join(html.unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             run = []
             if text:
-                node = block()
+                node = blocks[-1]
                 node.parts.append(len(texts))
                 node.own += len(text)
                 texts.append(text)
 
-    def block() -> Node:
-        return next(n for _, n in reversed(stack) if n is not None)
+    def push(tag: str, node: Node | None) -> None:
+        nonlocal linked, hidden
+        stack.append((tag, node))
+        opened[tag] += 1
+        linked += tag == "a"
+        hidden += tag in RAW
+        if node is not None:
+            blocks.append(node)
 
     def pop(to: int) -> None:
         nonlocal linked, hidden
         if any(n is not None for _, n in stack[to:]):
             flush()
-        for tag, _ in stack[to:]:
+        for tag, node in stack[to:]:
+            opened[tag] -= 1
             linked -= tag == "a"
             hidden -= tag in RAW
+            if node is not None:
+                blocks.pop()
         del stack[to:]
 
+    def close(tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        """End the nearest open element of these, up to the scope."""
+        if any(opened[t] for t in tags):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in scope:
+                    return
+                if stack[k][0] in tags:
+                    return pop(k)
+
+    def end_inline(tag: str, scope: tuple[str, ...]) -> None:
+        """Only the element itself ends; blocks opened inside stay open."""
+        nonlocal linked
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] in scope:
+                return
+            if stack[k][0] == tag:
+                opened[tag] -= 1
+                linked -= tag == "a"
+                del stack[k]
+                return
+
     def add(text: str) -> None:
         if text and not hidden:
+            text = html.unescape(text) if "&" in text else text  # references do not reach over tags
             run.append(text)
             if linked:
-                block().links += len(text)
+                blocks[-1].links += len(text)
 
     at, size = 0, len(source)
     for m in _MARKUP.finditer(source):
@@ -136,10 +176,14 @@ def parse(source: str) -> tuple[list[Node], list[str]]:
             continue
         tag = name.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if opened[tag]:
+                scope = () if tag == "table" else ("table",) if tag in _CELLS else ("td", "th", "caption")
+                if tag in BLOCK or tag in RAW:
+                    close((tag,), scope)
+                else:
+                    end_inline(tag, scope)
+            elif tag == "br":
+                add(" ")
             continue
         if tag in ("html", "body"):
             if tag == "body":
@@ -148,54 +192,44 @@ def parse(source: str) -> tuple[list[Node], list[str]]:
                     pop(1)
                 root.tokens = tuple(sorted({*root.tokens, *_tokens(m[3])}))
             continue
-        if tag == "br" or tag == "wbr":
-            add(" " if tag == "br" else "")
+        if tag == "br":
+            add(" ")
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
             elif tag == "input":
-                block().controls += 1
+                blocks[-1].controls += 1
             continue
         if tag in OPAQUE:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            at = end.end() if end else size
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*", re.I).search(source, at)
+            at = min(size, end.end() + 1) if end else size
             continue
         if tag in RAW:
             if tag in ("button", "select"):
-                block().controls += 1
+                blocks[-1].controls += 1
             if not m[3].endswith("/"):
-                stack.append((tag, None))
-                hidden += 1
+                push(tag, None)
             continue
-        if tag in INLINE:
-            stack.append((tag, None))
-            linked += tag == "a"
+        if tag not in BLOCK:
+            if not m[3].endswith("/") or tag == "a":
+                push(tag, None)
             continue
         if tag in IMPLIED:
-            closes, scope = IMPLIED[tag]
+            close(*IMPLIED[tag])
+        if opened["p"]:  # any block ends an open paragraph
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in scope:
-                    break
-                if stack[k][0] in closes:
+                if stack[k][0] == "p":
                     pop(k)
                     break
-        for k in range(len(stack) - 1, 0, -1):  # any block ends an open paragraph
-            if stack[k][0] == "p":
-                pop(k)
-                break
-            if stack[k][1] is not None:
-                break
+                if stack[k][1] is not None:
+                    break
         flush()
-        parent = block()
-        if len(stack) > 400:  # deeper nesting than any page needs: kept flat
-            node = parent
-        else:
-            node = Node(tag, parent, _tokens(m[3]) if m[3] else ())
-            node.order = len(nodes)
-            parent.kids.append(node)
-            nodes.append(node)
-        stack.append((tag, node))
+        node = Node(tag, blocks[-1], _tokens(m[3]) if m[3] else ())
+        node.order = len(nodes)
+        blocks[-1].kids.append(node)
+        nodes.append(node)
+        push(tag, node)
     add(source[at:])
     flush()
     return nodes, texts
@@ -333,7 +367,7 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _template_page(r: np.random.Generator) -> tuple[str, set[int]]:
+def _template_page(r: np.random.Generator) -> str:
     """A random page; texts of main content carry the mark that the labels are read from."""
     words = "alo beri cento dura ema fasto gilo hanu iro jata kelo lumo mari nepo oru pata quin ralo sino tavo".split()
     pick_one = lambda *a: a[r.integers(len(a))]
@@ -398,15 +432,23 @@ def _template_page(r: np.random.Generator) -> tuple[str, set[int]]:
                 out.append(f"<blockquote>{pick_one('<p>', '')}{prose(1, 3, '@@')}</blockquote>")
             elif kind < 0.94:
                 out.append("<table>" + "".join(f"<tr><td>@@{few()}</td><td>@@{few()}</td></tr>" for _ in range(r.integers(2, 5))) + "</table>")
-            elif kind < 0.97:
+            elif kind < 0.95:
                 out.append(f"<div>{prose(1, 5, '@@')}</div>")
+            elif kind < 0.96:
+                out.append(f"<figure><img src=a.png><figcaption>{prose(1, 1, '@@')}</figcaption></figure>")
+            elif kind < 0.97:
+                out.append(f"<dl><dt>@@{few()}</dt><dd>{prose(1, 2, '@@')}</dd></dl>")
+            elif kind < 0.98:
+                out.append(f"<section{pick_one('', attr('section', 'body', 'text'))}><h2>@@{few()}</h2>" + "".join(f"<p>{prose(1, 6, '@@')}</p>" for _ in range(r.integers(1, 4))) + "</section>")
             else:
                 out.append(boiler())
         return "".join(out)
 
     inner = content()
-    if chance(0.1):
-        inner = f"<header><h1>@@{few()}</h1></header>" + inner
+    if chance(0.2):
+        inner = f"<header{pick_one('', attr('header', 'entry-header', 'post-header', 'article-head'))}><h1{pick_one('', attr('title', 'entry-title', 'headline'))}>@@{few()}</h1></header>" + inner
+    if chance(0.12):
+        inner += f"<footer{pick_one('', attr('meta', 'post', 'entry', 'tags'))}>{pick_one('<p>' + prose(1, 2) + '</p>', few() + ' <a href=/x>' + few() + '</a>', links(1, 4), prose(1, 2))}</footer>"
     shape = r.integers(6)
     if shape <= 2:
         inner = f"<article{pick_one('', attr('post', 'hentry', 'story'))}>{inner}</article>"
@@ -424,7 +466,10 @@ def _template_page(r: np.random.Generator) -> tuple[str, set[int]]:
     bottom = "".join(boiler() for _ in range(r.integers(0, 4)))
     if chance(0.6):
         bottom += f"<footer>{pick_one('<p>', '', '')}&copy; {few()} {prose(0, pick_one(2, 2, 9))}{pick_one('', links(1, 4))}</footer>"
-    return f"<html><head><title>{few()}</title></head><body>{top}{inner}{bottom}{pick_one('</body></html>', '')}", set()
+    body = top + inner + bottom
+    if chance(0.08):  # pages of some servers are one form
+        body = f'<form{pick_one("", attr("form", "main", "page"))} action="/">{"<input type=hidden name=s>" * int(r.integers(0, 4))}{body}</form>'
+    return f"<html><head><title>{few()}</title></head><body>{body}{pick_one('</body></html>', '')}"
 
 
 @functools.lru_cache(1)
@@ -433,7 +478,7 @@ def trained(pages: int = 600, seed: int = 7) -> Trees:
     r = np.random.default_rng(seed)
     xs, ys = [], []
     for _ in range(pages):
-        nodes, texts = parse(_template_page(r)[0])
+        nodes, texts = parse(_template_page(r))
         good = np.zeros(len(nodes), bool)
         for i in range(len(nodes) - 1, -1, -1):
             v = nodes[i]
@@ -466,7 +511,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Blocks are joined by new lines in page order, white space inside a block is
     one space.  Null and empty pages, and pages without main text, give the
-    empty text.  Every row gets a row; broken markup is read as browsers do.
+    empty text.  Every row gets a row.  Tags, attributes and character
+    references are read by the rules of browsers; paragraphs, list items and
+    cells end where theirs do, an inline end tag ends that element alone, and a
+    block's end tag ends all that is open inside it.  Text that browsers do not
+    show (controls of forms, media fallbacks, annotations) is not extracted.
     """
     import pyarrow as pa
 

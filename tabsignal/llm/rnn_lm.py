@@ -35,8 +35,10 @@ from .common import crc_of_id, in_slices, pick, saved, scratch, text_batches
 HOT = 150_000
 #: Outputs: frequent words and ending buckets, in classes of equal size.
 OUTPUTS, BUCKETS, CLASSES = 1536, 256, 48
-#: Network width, window of truncated backpropagation, lanes in training and scoring.
-HIDDEN, WINDOW, TRAIN_LANES, LANES = 20, 20, 64, 256
+#: Network width, window of truncated backpropagation, lanes at the start, in the rounds and in scoring.
+HIDDEN, WINDOW, TRAIN_LANES, ROUND_LANES, LANES = 16, 20, 64, 512, 256
+#: Steps that scoring takes before it looks outputs up.
+BLOCK = 128
 #: Documents on which the network is started, drawn by a hash of the id, before it reads all of them.
 SAMPLE_ROWS, UPDATES, RATE = 300, 700, 0.01
 #: Rounds in which all documents are read once, and the rate of the first; weights go to be averaged in pieces of so many.
@@ -45,8 +47,10 @@ ROUNDS, ROUND_RATE, PIECE = 4, 0.003, 4096
 SPAN = 2000
 #: Words longer than this many bytes are known by their digest.
 LONG = 48
+#: Bytes of text that are tokenised together.
+TOKENISED_BYTES = 6_000_000
 #: Tokens that a worker scores at once, and counts that it gathers before it passes them on.
-BUFFER_TOKENS, GATHER = 3_000_000, 200_000
+BUFFER_TOKENS, GATHER = 6_000_000, 200_000
 #: The end token's key; no word holds a space.
 END = b" end"
 
@@ -104,10 +108,9 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
             return out
 
         for batch in in_slices(batches, 0):
-            different, codes, _ = _coded(batch.column(0))
-            times = np.bincount(codes, minlength=len(different))
-            for k in np.flatnonzero(times).tolist():
-                held[different[k]] += int(times[k])
+            for text in batch.column(0).to_pylist():
+                held.update(words_of(text))
+            held[END] += batch.num_rows
             if len(held) > GATHER:
                 yield pour()
         if held:
@@ -185,7 +188,7 @@ class Network:
         f = np.float32
         self.size = len(prior) // CLASSES
         order = np.argsort(-prior, kind="stable")
-        self.slot = np.empty(len(prior), np.int64)  # output -> class * size + member
+        self.slot = np.empty(len(prior), np.int32)  # output -> class * size + member
         self.slot[order] = np.arange(len(prior))
         sorted_prior = prior[order].reshape(CLASSES, self.size)
         self.p = {
@@ -350,7 +353,7 @@ class Network:
         held: list[np.ndarray] = []
         for t in texts:
             held.append(t)
-            if len(held) == LANES:
+            if len(held) == ROUND_LANES:
                 break
         lanes = len(held)
         full, at, h = lanes * WINDOW, [0] * lanes, np.zeros((lanes, HIDDEN), np.float32)
@@ -414,8 +417,8 @@ class Network:
         flat = [self.slot[np.concatenate([texts[i] for i in lane])] for lane in lanes]
         owner = [np.repeat(lane, [len(texts[i]) for i in lane]) for lane in lanes]
         h = np.zeros((len(lanes), HIDDEN), np.float32)
-        for at in range(0, int(load[0]), 64):
-            until = min(at + 64, int(load[0]))
+        for at in range(0, int(load[0]), BLOCK):
+            until = min(at + BLOCK, int(load[0]))
             live = int(np.searchsorted(-load, -at, side="left"))
             x, who = np.zeros((until - at, live), np.int64), np.full((until - at, live), -1, np.int64)
             for k in range(live):
@@ -447,6 +450,22 @@ def _outputs(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
     return output, place
 
 
+def _joined(batches: Iterator, text_index: int, size: int) -> Iterator:
+    """Batches put together until their texts have so many bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, total = [], 0
+    for batch in in_slices(batches, text_index):
+        held.append(batch)
+        total += pc.sum(pc.binary_length(batch.column(text_index))).as_py() or 0
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def tokenise(docs: DataFrame, vocab, part, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row as the network reads it: id, row (its own number), counts by the hot words, outputs, other words; by ``part``.
 
@@ -462,7 +481,7 @@ def tokenise(docs: DataFrame, vocab, part, id_col: str = "doc_id", text_col: str
         from pyspark import TaskContext
 
         known_words, serial = vocab.value, TaskContext.get().partitionId() << 36
-        for batch in in_slices(batches, 1):
+        for batch in _joined(batches, 1, TOKENISED_BYTES):
             different, codes, border = _coded(batch.column(1))
             place = known_words.place(different)
             is_hot, code = place >= 0, np.maximum(place, 0)

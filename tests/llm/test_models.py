@@ -154,7 +154,7 @@ def test_trees_on_new_pages():
     r, trees = np.random.default_rng(99), html_text.trained()
     right = extra = lost = 0
     for _ in range(120):
-        source = html_text._template_page(r)[0]
+        source = html_text._template_page(r)
         _, texts = html_text.parse(source)
         want = Counter(t.replace("@@", "") for t in texts if "@@" in t)
         got = Counter(t for t in html_text.main_texts([source.replace("@@", "")], trees)[0].split("\n") if t)
