@@ -24,6 +24,10 @@ from .common import in_slices, pick, positions, text_batches
 Q, EDITS = 8, 0.10
 #: Characters of items that one pass holds; further items take further passes.
 BLOCK_CHARS = 2_000_000
+#: Shared q-grams that are listed at a time, and places of one q-gram in an item from which on bands are listed instead.
+LISTED, HEAVY = 2_000_000, 16
+#: Items longer than this are aligned by furthest-reaching diagonals.
+LONG_ITEM = 2048
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -85,17 +89,26 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Benchmark items of one block, with their q-grams sorted."""
+    """Benchmark items of one block, with their q-grams sorted.
+
+    ``hashes`` are the different q-grams; those of number h stand in the groups
+    from ``group[h]`` on, one for each item that has it; group g is of
+    ``item[g]`` and has the places ``offset[place[g] : place[g + 1]]``.
+    """
 
     ids: list
     codes: list[np.ndarray]
     budget: np.ndarray
     least: np.ndarray
     hashes: np.ndarray
+    group: np.ndarray
     item: np.ndarray
+    place: np.ndarray
     offset: np.ndarray
     filter: np.ndarray
     short: list[int]
+    longest: int
+    origin: int  # diagonals are numbered from -origin on
 
     @classmethod
     def of(cls, rows: list[tuple], q: int = Q, edits: float = EDITS) -> "Items":
@@ -113,10 +126,87 @@ class Items:
         hashes = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)
         item = np.concatenate([np.full(len(h), i) for h, i in parts]) if parts else np.zeros(0, np.int64)
         offset = np.concatenate([np.arange(len(h)) for h, _ in parts]) if parts else np.zeros(0, np.int64)
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes, kind="stable")  # within a q-gram by item, then by place
+        hashes, item, offset = hashes[order], item[order], offset[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        begins = new.copy()
+        begins[1:] |= item[1:] != item[:-1]
+        first = np.flatnonzero(begins)
         seen = np.zeros(1 << _BITS, bool)
         seen[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        return cls(ids, codes, budget, least, hashes[order], item[order], offset[order], seen, short)
+        group = np.append(np.flatnonzero(new[first]), len(first))
+        return cls(ids, codes, budget, least, hashes[new], group, item[first], np.append(first, len(hashes)), offset, seen, short, int(sizes.max()) if len(sizes) else 0, int(sizes.max() + budget.max() + 1) if len(sizes) else 0)
+
+
+_POWERS = np.ones(1, np.uint64)
+_ODD = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _sums(codes: np.ndarray) -> np.ndarray:
+    """Sum of code times power up to each place; equal parts have equal differences but for a power."""
+    global _POWERS
+    if len(_POWERS) <= len(codes):
+        up = np.full(max(1 << 16, 2 * len(codes)), _ODD)
+        up[0] = 1
+        _POWERS = np.multiply.accumulate(up)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(codes)], dtype=np.uint64)])
+
+
+def _common(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, m: int, n: int) -> np.ndarray:
+    """How far two texts, given by their sums, agree from places i and j on."""
+    most = np.minimum(m - i, n - j)
+    length, step, growing = np.zeros(len(i), np.int64), np.ones(len(i), np.int64), np.ones(len(i), bool)
+    live = np.flatnonzero(most > 0)
+    while len(live):  # the step doubles while they agree, then halves what is left open
+        reach = np.minimum(step[live], most[live] - length[live])
+        x, y = i[live] + length[live], j[live] + length[live]
+        same = (a[x + reach] - a[x]) * _POWERS[y] == (b[y + reach] - b[y]) * _POWERS[x]
+        most[live] = np.where(same, most[live], length[live] + reach - 1)
+        length[live] += np.where(same, reach, 0)
+        growing[live] &= same
+        step[live] = np.where(growing[live], 2 * reach, (most[live] - length[live] + 1) >> 1)
+        live = live[length[live] < most[live]]
+    return length
+
+
+def align_long(item: np.ndarray, text: np.ndarray, first: int, width: int, budget: int) -> tuple[int, int, int]:
+    """:func:`align` of one long item: (edits, start, end), edits over the budget if there is no such alignment.
+
+    For each number of edits the farthest place of the item reached on each
+    diagonal is kept; how far two texts agree is found on sums of their
+    characters, so a copy costs one look at each diagonal of the band, and every
+    edit another.  Of equal alignments the one that ends first wins.
+    """
+    m, n = len(item), len(text)
+    a, b = _sums(item), _sums(text)
+    _sums(np.zeros(max(m, n) + 1, np.uint32))
+    diagonal = first + np.arange(width)
+    never, limit = np.int64(-(1 << 50)), np.minimum(m, n - diagonal)
+    reach = np.where((diagonal >= 0) & (diagonal <= n), 0, never)
+    start = diagonal.copy()
+    for edits in range(budget + 1):
+        if edits:
+            left, right = np.full(width, never), np.full(width, never)
+            left[1:], right[:-1] = reach[:-1], reach[1:] + 1  # a text character, an item character without partner
+            both = np.stack([reach + 1, left, right])
+            best = both.argmax(0)
+            start = np.where(best == 0, start, np.where(best == 1, np.roll(start, 1), np.roll(start, -1)))
+            reach = np.minimum(both[best, np.arange(width)], limit)
+            reach[reach < 0] = never
+        some = np.flatnonzero(reach >= 0)
+        reach[some] += _common(a, b, reach[some], reach[some] + diagonal[some], m, n)
+        done = np.flatnonzero(reach == m)
+        if len(done):
+            k = int(done[0])
+            return edits, int(start[k]), int(m + diagonal[k])
+    return budget + 1, 0, 0
+
+
+def _spread(begin: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i the numbers from begin[i] on, times[i] of them; and i for each."""
+    owner = np.repeat(np.arange(len(times)), times)
+    return np.repeat(begin - (np.cumsum(times) - times), times) + np.arange(int(times.sum())), owner
 
 
 def align(items: list[np.ndarray], text: np.ndarray, first: np.ndarray, width: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,6 +252,51 @@ def align(items: list[np.ndarray], text: np.ndarray, first: np.ndarray, width: n
     return done_cost[rows, k], done_start[rows, k], first + sizes + k
 
 
+#: Bands of an item, at most.
+_SPACE = np.int64(1) << 34
+
+
+def _hits(items: Items, spots: np.ndarray, number: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Shared q-grams as (key of item and band, whether this text place is new to it, place in the item), LISTED or so at a time.
+
+    Band b has the diagonals from b * (budget + 1) - origin on, twice the
+    budget and two of them.  Of a q-gram that an item holds HEAVY times or more
+    not its places are listed but the bands that they reach, with the place -1,
+    so repetitive texts and items do not multiply.
+    """
+    times = items.group[number + 1] - items.group[number]
+    part = np.cumsum(times * HEAVY) // LISTED
+    for at in np.split(np.arange(len(spots)), np.flatnonzero(np.diff(part)) + 1):
+        group, owner = _spread(items.group[number[at]], times[at])
+        spot, step = spots[at][owner], items.budget[items.item[group]] + 1
+        size = items.place[group + 1] - items.place[group]
+        light = np.flatnonzero(size < HEAVY)
+        index, owner = _spread(items.place[group[light]], size[light])
+        owner = light[owner]
+        band = (spot[owner] - items.offset[index] + items.origin) // step[owner]
+        listed = [(owner, band, items.offset[index])]
+        heavy = np.flatnonzero(size >= HEAVY)
+        if len(heavy):
+            g, s, w = group[heavy], spot[heavy], step[heavy]
+            low = (s - items.offset[items.place[g + 1] - 1] + items.origin) // w
+            high = (s - items.offset[items.place[g]] + items.origin) // w
+            band, owner = _spread(low, high - low + 1)
+            # the band is reached if there is a place from s + origin - (band + 1) * step + 1 to s + origin - band * step
+            top = s[owner] + items.origin - band * w[owner]
+            wide = np.int64(length + 2 * items.origin + 2)
+            flat = np.repeat(np.arange(len(g)), items.place[g + 1] - items.place[g]) * wide + items.offset[_spread(items.place[g], items.place[g + 1] - items.place[g])[0]]
+            reached = np.searchsorted(flat, owner * wide + np.minimum(top, wide - 1), "right") > np.searchsorted(flat, owner * wide + np.maximum(top - w[owner] + 1, 0), "left")
+            listed.append((heavy[owner[reached]], band[reached], np.full(int(reached.sum()), -1)))
+        owner, band, offset = (np.concatenate(x) for x in zip(*listed))
+        both = np.concatenate([items.item[group][owner] * _SPACE + band, items.item[group][owner] * _SPACE + band - 1])
+        owner, offset = np.concatenate([owner, owner]), np.concatenate([offset, offset])
+        order = np.lexsort((owner, both))
+        both, owner, offset = both[order], owner[order], offset[order]
+        new = np.ones(len(both), bool)
+        new[1:] = (both[1:] != both[:-1]) | (owner[1:] != owner[:-1])
+        yield both, new, offset
+
+
 def _find(items: Items, text: np.ndarray, lows: np.ndarray, q: int) -> list[tuple[int, int, int, int, int]]:
     """(document, item, start, end, edits) in a joined text of documents that begin at ``lows``."""
     found: list[tuple[int, int, int, int, int]] = []
@@ -169,37 +304,28 @@ def _find(items: Items, text: np.ndarray, lows: np.ndarray, q: int) -> list[tupl
     h = grams(text, q)
     if len(h) and len(items.hashes):
         spots = np.flatnonzero(items.filter[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-        left = np.searchsorted(items.hashes, h[spots], "left")
-        right = np.searchsorted(items.hashes, h[spots], "right")
-        times = right - left
-        spots, left, times = spots[times > 0], left[times > 0], times[times > 0]
-        total = int(times.sum())
-        if total:
-            index = np.repeat(left - (np.cumsum(times) - times), times) + np.arange(total)
-            spot = np.repeat(spots, times)
-            item, diagonal = items.item[index], spot - items.offset[index]
-            step = items.budget[item] + 1
-            band = (diagonal + (1 << 20)) // step  # never negative for items under 2**20 characters
-            space = np.int64(1) << 34
-            keys = np.concatenate([item * space + band, item * space + band - 1])
-            keys, counts = np.unique(keys, return_counts=True)
-            item, band = keys // space, keys % space
-            good = counts >= items.least[item]
-            item, band, keys = item[good], band[good], keys[good]
+        number = np.minimum(np.searchsorted(items.hashes, h[spots]), len(items.hashes) - 1)
+        real = items.hashes[number] == h[spots]
+        spots, number = spots[real], number[real]
+        if len(spots):
+            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for key, new, _ in _hits(items, spots, number, len(text)):
+                more, n = np.unique(key[new], return_counts=True)
+                keys, inverse = np.unique(np.concatenate([keys, more]), return_inverse=True)
+                counts = np.bincount(inverse, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            keys = keys[counts >= items.least[keys // _SPACE]]
             if len(keys):
-                # a character of either side has one partner at most, so positions of both sides must reach the bound
-                all_items = items.item[index]
-                low_band = (spot - items.offset[index] + (1 << 20)) // (items.budget[all_items] + 1)
-                for shift in (0, 1):
-                    hit_keys = all_items * space + low_band - shift
-                    at = np.minimum(np.searchsorted(keys, hit_keys), len(keys) - 1)
-                    ok = keys[at] == hit_keys
-                    pairs = (at[ok], spot[ok], items.offset[index][ok])
-                    parts = pairs if shift == 0 else tuple(np.concatenate([x, y]) for x, y in zip(parts, pairs))
-                at, spot, offset = parts
-                by_text = np.bincount(np.unique(at * np.int64(len(text) + 1) + spot) // (len(text) + 1), minlength=len(keys))
-                by_item = np.bincount(np.unique(at * np.int64(1 << 20) + offset) >> 20, minlength=len(keys))
-                good = np.minimum(by_text, by_item) >= items.least[item]
+                # an item's characters have one partner each too, so its places must reach the bound as well
+                places, free = np.zeros(0, np.int64), np.zeros(len(keys), bool)
+                wide = np.int64(items.longest + 1)
+                for key, _, offset in _hits(items, spots, number, len(text)):
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    ok = keys[at] == key
+                    free[at[ok & (offset < 0)]] = True
+                    ok &= offset >= 0
+                    places = np.union1d(places, at[ok] * wide + offset[ok])
+                item, band = keys // _SPACE, keys % _SPACE
+                good = free | (np.bincount(places // wide, minlength=len(keys)) >= items.least[item])
                 found += _verify(items, text, lows, highs, item[good], band[good])
     for i in items.short:
         c = items.codes[i]
@@ -221,7 +347,7 @@ def _verify(items: Items, text, lows, highs, item: np.ndarray, band: np.ndarray)
     jobs = []
     for i, b in zip(item.tolist(), band.tolist()):
         k, size = int(items.budget[i]), len(items.codes[i])
-        first = b * (k + 1) - (1 << 20)
+        first = b * (k + 1) - items.origin
         last = first + 2 * k + 1
         d = max(0, int(np.searchsorted(lows, max(first, 0), "right")) - 1)
         while d < len(lows) and lows[d] <= last + size:
@@ -229,7 +355,12 @@ def _verify(items: Items, text, lows, highs, item: np.ndarray, band: np.ndarray)
                 jobs.append((k, i, first, 2 * k + 2, int(lows[d]), int(highs[d]), d))
             d += 1
     jobs.sort()
-    found = []
+    found, long = [], [j for j in jobs if len(items.codes[j[1]]) > LONG_ITEM]
+    jobs = [j for j in jobs if len(items.codes[j[1]]) <= LONG_ITEM]
+    for k, i, first, width, low, high, d in long:
+        edits, start, end = align_long(items.codes[i], text[low:high], first - low, width, k)
+        if edits <= k:
+            found.append((d, i, start + low, end + low, edits))
     for at in range(0, len(jobs), 128):
         part = jobs[at : at + 128]
         first, width, low, high = (np.array([j[c] for j in part], np.int64) for c in (2, 3, 4, 5))
@@ -282,7 +413,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDIT
     The budget is ``edits`` of the item's compared length, less for items so
     short that the bound would fall to nothing.  Null and empty texts and items
     match nothing; items under q characters must occur exactly as whole words;
-    repeated rows are each searched.  Items are sent to the workers in blocks
+    repeated rows are each searched; items may have any length (of long ones
+    those with many edits take longest: edits times twice the budget steps).  Items are sent to the workers in blocks
     of at most BLOCK_CHARS; each block is one pass over the documents.
     """
     import pyarrow as pa

@@ -252,3 +252,54 @@ def test_item_blocks(spark, monkeypatch):
     docs = frame(spark, [(i, "start " + " ".join(f"q{x}" for x in w) + " stop") for i, w in enumerate(words)] + [(99, "nothing here")])
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()) == [(i, i) for i in range(6)]
     assert [r["doc_id"] for r in decontaminate.remove_leaks(docs, bench).collect()] == [99]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_long_alignment_is_the_banded_one(seed):
+    r = np.random.default_rng(seed)
+    for _ in range(40):
+        m = int(r.integers(8, 60))
+        item = r.integers(97, 97 + int(r.integers(2, 5)), m).astype(np.uint32)
+        text = np.concatenate([r.integers(97, 101, int(r.integers(0, 12))), item, r.integers(97, 101, int(r.integers(0, 12)))]).astype(np.uint32)
+        for _ in range(int(r.integers(0, 8))):
+            at = int(r.integers(0, len(text)))
+            text = [np.delete(text, at), np.insert(text, at, 99), np.concatenate([text[:at], [98], text[at + 1 :]])][int(r.integers(0, 3))].astype(np.uint32)
+        first, width, k = int(r.integers(-6, 6)), int(r.integers(4, 24)), int(r.integers(0, 9))
+        want = decontaminate.align([item], text, np.array([first]), np.array([width]), np.array([0]), np.array([len(text)]))
+        edits, start, end = decontaminate.align_long(item, text, first, width, k)
+        if want[0][0] <= k:
+            assert (edits, end) == (want[0][0], want[2][0])
+            assert edits_between(item, text[start:end]) <= edits  # outside the band there may be better ones
+        else:
+            assert edits > k
+
+
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row, before = [i + 1], row
+        for j, y in enumerate(b):
+            row.append(min(before[j] + (x != y), before[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def test_long_items_are_found(spark):
+    r = random.Random(12)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
+    long, longer = say(10_000), say(185_000)  # some 60,000 and 1.1 million characters
+    assert len(long) > 58_000 and len(longer) > 1_050_000
+    near = long[:20_000] + "zz" + long[20_003:40_000] + long[40_030:]
+    rows = [(1, "before " + long + " after"), (2, longer), (3, near), (4, say(2000)), (5, long[: len(long) // 2])]
+    items = spark.createDataFrame([(0, long), (1, longer)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x for x in decontaminate.leaks(frame(spark, rows), items).collect()}
+    assert set(got) == {(1, 0), (2, 1), (3, 0)}
+    assert (got[1, 0]["start"], got[1, 0]["length"], got[1, 0]["edits"]) == (7, len(long), 0)
+    assert got[2, 1]["edits"] == 0 and 25 <= got[3, 0]["edits"] <= 33
+
+
+def test_repetitive_texts_do_not_multiply():
+    r = random.Random(2)
+    items = decontaminate.Items.of([(0, "a" * 3000), (1, "ab" * 1500), (2, "x " * 2000), (3, "a" * 30 + " this is an ordinary item of some words")])
+    text = ["a" * 200_000, "ab" * 50_000 + "c", " ".join(r.choice("xyz") for _ in range(2000)) + " " + "x " * 2100, "-" * 9000, "a" * 30 + " this is an ordinary item of some words"]
+    got = [{h[0] for h in spans} for spans in decontaminate._search(items, text, decontaminate.Q)]
+    assert got == [{0}, {1}, {2}, set(), {3}]
