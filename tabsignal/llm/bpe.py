@@ -137,19 +137,39 @@ class ChunkEncoder:
                 a, b, both = next(fixed), next(fixed), next(fixed)
                 here, there = ids[k], ids[k + 1]
                 if len(here) - len(a) < start or not here.endswith(a) or not there.startswith(b):
-                    parts = None  # the windows would have to grow over a whole chunk
+                    parts = None  # the window has to grow
                     for _ in range(3 * (len(windows) - k - 1)):
                         next(fixed)
                     break
                 parts += [here[start : len(here) - len(a)], both]
                 start = len(b)
             if parts is None:
-                out.append(self.pieces.encode(["".join(chunks)])[0])
+                out.append(self._grow(chunks, ids))
             else:
                 parts.append(ids[-1][start:])
                 out.append(b"".join(parts))
         return out
 
+    def _grow(self, chunks: list[str], ids: list[bytes]) -> bytes:
+        """Joins chunks one by one, each window growing fourfold until its outer parts agree, at last over both chunks."""
+        out, held, held_ids, used, used_ids = [], chunks[0], ids[0], 0, 0
+        for after, after_ids in zip(chunks[1:], ids[1:]):
+            reach = WINDOW
+            while True:
+                left, right = self._left(held, used, len(held), reach), self._right(after, 0, len(after), reach)
+                if reach > MAX_CHUNK or left is None or right is None:
+                    held = held[used:] + after
+                    held_ids, used, used_ids = self.pieces.encode([held])[0], 0, 0
+                    break
+                a, b, both = self.pieces.encode([held[left:], after[:right], held[left:] + after[:right]])
+                if len(held_ids) - len(a) >= used_ids and held_ids.endswith(a) and after_ids.startswith(b):
+                    out += [held_ids[used_ids : len(held_ids) - len(a)], both]
+                    held, held_ids, used, used_ids = after, after_ids, right, len(b)
+                    break
+                reach *= 4
+        out.append(held_ids[used_ids:])
+        return b"".join(out)
+
 
 _CHUNKERS: dict[str, ChunkEncoder] = {}
 
