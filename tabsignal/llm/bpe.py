@@ -115,7 +115,7 @@ class ChunkEncoder:
     @staticmethod
     def _right(text: str, cut: int, high: int, reach: int) -> int | None:
         """The first white space that is at least ``reach`` after the cut, else the first after it."""
-        for low in (cut + reach, cut):
+        for low in (cut + reach, cut + 1):
             if low < high and (m := _SPACE.search(text, low, high)):
                 return m.start()
         return None
