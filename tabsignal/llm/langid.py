@@ -15,6 +15,7 @@ summed beforehand, so a byte takes one or two lookups.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,7 @@ FOREIGN, LETTERS = 7.0, 48
 #: Unknown language.
 UNDETERMINED = "und"
 
+_RUN = re.compile(rb"\S+")
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,6 +155,14 @@ class Model:
         """Bits of each text under each language."""
         return self.sums(texts, None)
 
+    def each(self, text: bytes) -> np.ndarray:
+        """Bits of each byte of one text under each language."""
+        data = np.frombuffer(text, np.uint8).astype(np.int64)
+        before = np.zeros(len(data), np.int64)
+        for k in range(1, 5):
+            before[k:] |= data[:-k] << (8 * (k - 1))
+        return np.concatenate([t.bits(data, before, np.arange(len(data))) for t in self.tables], axis=1)
+
     def sums(self, texts: list[bytes], counted: np.ndarray | None) -> np.ndarray:
         """Bits of the counted bytes (all if None) of each text under each language."""
         out = np.zeros((len(texts), len(self.langs)))
@@ -264,7 +274,9 @@ def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", for
 
     Rejected are texts that are null or without a letter, and those that the
     best language explains badly: the letters of their words cost more than
-    ``foreign`` bits a byte on average even there.  Texts in a learned language
+    ``foreign`` bits a byte even there, on average and for the median of their
+    different words, so that neither a key among few words nor a word repeated
+    many times decides.  Texts in a learned language
     take two to six, other languages, other scripts and gibberish nine and
     more (a byte by itself is eight, and every escape is paid on top).  Keys, numbers and addresses are left out
     of that sum, and texts with fewer than ``letters`` such bytes are too short
@@ -284,12 +296,24 @@ def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", for
             if held.value is not None and any(good):
                 raw = [t.encode("utf-8", "replace") if g else b"" for t, g in zip(texts, good)]
                 rate, size = word_bits(held.value, raw)
-                good = [g and not (n >= letters and x > foreign) for g, x, n in zip(good, rate.tolist(), size.tolist())]
+                odd = (size >= letters) & (rate > foreign)
+                for k in np.flatnonzero(odd).tolist():
+                    good[k] = typical_word(held.value, raw[k]) <= foreign
             yield batch.filter(pa.array(good))
 
     return flat.mapInArrow(run, flat.schema).toDF(*names)
 
 
+def typical_word(model: Model, text: bytes) -> float:
+    """The median over the different words of what a byte of their letters costs, in the language where it is least."""
+    bits, counted, words = model.each(text), word_letters([text]), {}
+    for m in _RUN.finditer(text):
+        some = counted[m.start() : m.end()]
+        if some.any():
+            words.setdefault(m[0], bits[m.start() : m.end()][some].mean(0))
+    return float(np.median(list(words.values()), axis=0).min()) if words else 0.0
+
+
 def word_bits(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bits a byte of the letters of words under the best language, and the number of such bytes."""
     counted = word_letters(texts)
