@@ -26,6 +26,7 @@ def _list(*values, of=None):
 class Config:
     """Every setting with its default."""
 
+    # names and defaults are fixed values: they must equal those of users' files
     run_name: str = "my_first_test"
     id_cols: list = _list("ticker", of=str)
     date_col: str = "date"
@@ -210,7 +211,7 @@ def is_in_choices(choices: Sequence, params: Mapping, key: str) -> bool:
 
 def is_all_or_list_of_strings(params: Mapping, key: str) -> bool:
     v = params.get(key)
-    return v == "all" or (isinstance(v, (list, tuple)) and all(isinstance(x, str) for x in v))
+    return v == "all" or (isinstance(v, (list, tuple)) and all(isinstance(x, str) for x in v) and len(set(v)) == len(v))
 
 
 def is_valid_quantile_bins(bins) -> bool:

@@ -8,31 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import quoted
+from ..sources.shared import saved
 
 GROUPINGS = ("none", "ids", "datetime", "datetime+ids")
 
 
-def global_row_number(df: DataFrame, order: Sequence[str], name: str, parts: int = 64) -> DataFrame:
+def ranged(df: DataFrame, order: Sequence[Column], what: str) -> DataFrame:
+    """The rows in order over the cluster, with ``_part`` (range) and ``_inside`` (0-based place in it).
+
+    Ranges are cut by all of ``order``, so neither a frequent first value nor a
+    text column lands in one task; the table is written to the shared folder,
+    so that both of its readers see the same numbers.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return saved(placed, what).withColumn("_part", F.shiftright("_at", 33)).withColumn("_inside", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+
+
+def global_row_number(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Adds a 0-based row number over the whole table without sorting it in one task.
 
-    Rows are dealt by ranges of the first order column, whose borders come from
-    an approximate quantile, numbered inside each range, and shifted by the
-    counts of the ranges before.  Ties follow the further order columns, nulls
-    come last.
+    Ranges of all order columns are sorted each on its own and shifted by the
+    counts of the ranges before.  Ties follow the remaining columns, nulls come
+    last; rows that are equal throughout are spread over ranges as well.
     """
-    key = quoted(order[0])
-    as_number = (F.unix_micros(key.cast("timestamp")) if dict(df.dtypes)[order[0]] in ("date", "timestamp", "timestamp_ntz") else key).cast("double")
-    borders = sorted(set(df.select(as_number.alias("k")).na.drop().approxQuantile("k", [i / parts for i in range(1, parts)], 0.005)))
-    if borders:
-        band = F.when(as_number.isNull(), len(borders) + 1).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b < as_number)))
-    else:
-        band = F.lit(0)
-    banded = df.withColumn("_band", band)
-    counts = banded.groupBy("_band").count()
-    before = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)  # a row for each band
-    shifts = counts.select("_band", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
-    inside = F.row_number().over(Window.partitionBy("_band").orderBy(*[quoted(c).asc_nulls_last() for c in order]))
-    return banded.withColumn("_inside", inside).join(F.broadcast(shifts), "_band").withColumn(name, F.col("_inside") - 1 + F.col("_shift")).drop("_band", "_inside", "_shift")
+    sortable = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    keys = [quoted(c).asc_nulls_last() for c in [*order, *[c for c in sortable if c not in order]]]
+    placed = ranged(df.withColumn("_tie", F.monotonically_increasing_id()), [*keys, F.col("_tie").asc()], "row-numbers").drop("_tie")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    shifts = placed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
+    return placed.join(F.broadcast(shifts), "_part").withColumn(name, F.col("_inside") + F.col("_shift")).drop("_part", "_inside", "_shift")
 
 
 def with_group(df: DataFrame, grouping: str, ids: Sequence[str] = (), date: str | None = None, units: int | None = None, name: str = "_group") -> DataFrame:

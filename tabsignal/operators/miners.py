@@ -19,12 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import quoted
+from ..sources.shared import saved
+from .grouping import global_row_number
+from .synth import keyed
 from .rules import Rule, condition, normalize_and_dedup_rules, normalize_rule, parse_apriori_rules, rule_stats, rules_table
 from .stats import CHUNK, build_filter_config, apply_statistic_filters, generate_statistics
 
 MINERS = ("univar", "apriori", "rulefit", "subgroup", "elcs", "cn2", "cart")
-#: Rows that the classifier system learns from, at most; a bounded sample, drawn by a hash of the row.
+#: Different rows that the classifier system learns from, at most; beyond that a sample, drawn by a hash of the row.
 ELCS_ROWS = 20_000
+#: Classes of a target, at most.
+CLASSES = 1000
+#: Rules after which the covering miner writes down what is left.
+KEPT = 4
 
 
 def _features(df: DataFrame, target_col: str) -> list[str]:
@@ -34,14 +41,25 @@ def _features(df: DataFrame, target_col: str) -> list[str]:
 
 
 def _classes(df: DataFrame, target_col: str) -> list[str]:
-    return sorted(r[0] for r in df.select(quoted(target_col).cast("string")).na.drop().distinct().limit(1000).collect())
+    """The classes in order; more than CLASSES raise ValueError."""
+    found = sorted(r[0] for r in df.select(quoted(target_col).cast("string")).na.drop().distinct().limit(CLASSES + 1).collect())
+    if len(found) > CLASSES:
+        raise ValueError(f"the target {target_col!r} has more than {CLASSES} classes")
+    return found
+
+
+def _counted(df: DataFrame, target_col: str) -> DataFrame:
+    """The different rows and how often each occurs (_n): miners of 0 and 1 count those."""
+    return df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def prepare_dataframe_for_mining(df: DataFrame, date_col: str, id_cols: Sequence[str], drop_cols: Sequence[str], target_col: str = "forward_return", to_sample: bool = True, sample_size: int = 100_000, drop_duplicates: bool = False) -> tuple[DataFrame, DataFrame]:
     """Features as 0 and 1 and the target; duplicates dropped and classes sampled in proportion, as asked.
 
-    The sample is drawn by a hash of the row, so it does not depend on
-    partitions.  The log has rows before and after and the classes.
+    Of each class as many rows are taken as its share of the sample, rounded,
+    those that come first by a hash of the row and its number among equal rows;
+    rows with a null target are not sampled.  The log has rows before and after
+    and the classes.
     """
     gone = {date_col, *id_cols, *drop_cols} - {target_col}
     features = [c for c in df.columns if c not in gone | {target_col}]
@@ -50,8 +68,13 @@ def prepare_dataframe_for_mining(df: DataFrame, date_col: str, id_cols: Sequence
         out = out.dropDuplicates()
     before = out.count()
     if to_sample and before > sample_size:
-        draw = F.pmod(F.xxhash64(*[quoted(c) for c in out.columns], F.monotonically_increasing_id() if not drop_duplicates else F.lit(0), F.lit(42)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        out = out.filter(draw < sample_size / before)
+        drawn = keyed(out).filter(quoted(target_col).isNotNull()).withColumn("_draw", F.xxhash64("_key", F.lit(42)))
+        numbered = global_row_number(drawn, [target_col, "_draw"], "_row")
+        sizes = numbered.groupBy(quoted(target_col).alias("_class")).agg(F.count(F.lit(1)).alias("_k"), F.min("_row").alias("_first"))
+        if sizes.count() > CLASSES:
+            raise ValueError(f"the target {target_col!r} has more than {CLASSES} classes")
+        wanted = F.round(F.col("_k") * F.lit(sample_size / before))
+        out = numbered.join(F.broadcast(sizes), quoted(target_col) == F.col("_class")).filter(F.col("_row") - F.col("_first") < wanted).select(*[quoted(c) for c in out.columns])
     log = out.agg(F.lit(before).alias("rows_before"), F.count(F.lit(1)).alias("rows_after"), F.count_distinct(quoted(target_col)).alias("n_classes")).withColumn("n_features", F.lit(len(features)))
     return out, log
 
@@ -174,11 +197,14 @@ def perform_subgroup_discovery(df: DataFrame, target_col: str, top_n: int = 50,
 
 
 def perform_cn2(df: DataFrame, target_col: str, max_rules: int = 20, depth: int = 3, beam_width: int = 5, min_covered: int = 5) -> list[tuple[Rule, str]]:
-    """An ordered rule list: the best rule by Laplace accuracy, then again on what it does not cover."""
+    """An ordered rule list: the best rule by Laplace accuracy, then again on what it does not cover.
+
+    Counts run over the different rows; what is left is written to the shared
+    folder every KEPT rules.
+    """
     features, classes = _features(df, target_col), _classes(df, target_col)
     out: list[tuple[Rule, str]] = []
-    left = df.filter(quoted(target_col).isNotNull())
-    covered: list = []
+    left = saved(_counted(df.filter(quoted(target_col).isNotNull()), target_col), "uncovered")
     for _ in range(max_rules):
         beam, best = [()], None
         for _ in range(depth):
@@ -188,7 +214,7 @@ def perform_cn2(df: DataFrame, target_col: str, max_rules: int = 20, depth: int
             scored = []
             for at in range(0, len(level), CHUNK):
                 part = level[at : at + CHUNK]
-                rows = left.groupBy(quoted(target_col).cast("string").alias("t")).agg(*[F.count_if(condition(left, list(r))).alias(f"_{i}") for i, r in enumerate(part)]).collect()
+                rows = left.groupBy(quoted(target_col).cast("string").alias("t")).agg(*[F.sum(F.when(condition(left, list(r)), F.col("_n")).otherwise(0)).alias(f"_{i}") for i, r in enumerate(part)]).collect()
                 for i, r in enumerate(part):
                     counts = {x["t"]: x[f"_{i}"] for x in rows}
                     n = sum(counts.values())
@@ -202,9 +228,10 @@ def perform_cn2(df: DataFrame, target_col: str, max_rules: int = 20, depth: int
         if best is None:
             break
         out.append((list(best[2]), best[3]))
-        covered.append(best[2])
         left = left.filter(~condition(left, list(best[2])))
-        if left.limit(min_covered).count() < min_covered:
+        if len(out) % KEPT == 0:
+            left = saved(left, "uncovered")
+        if (left.agg(F.sum("_n")).first()[0] or 0) < min_covered:
             break
     return out
 
@@ -220,49 +247,61 @@ def validate_binary_table(df: DataFrame, target_col: str) -> DataFrame:
 
 
 def perform_elcs(df: DataFrame, target_col: str, rows: int = ELCS_ROWS, population: int = 200, rounds: int = 15, seed: int = 42) -> list[tuple[Rule, str]]:
-    """A learning classifier system for each class: an evolving population of rules, by fitness on a bounded sample.
+    """A learning classifier system for each class: an evolving population of rules.
 
-    The sample has about ``rows`` rows, drawn by a hash of the row; each class
-    is evolved in a task of its own.
+    Fitness counts the different rows, each as often as it occurs; if there are
+    more than ``rows`` of them, those drawn by a hash.  Each class is evolved in
+    a task of its own.
     """
     features, classes = _features(df, target_col), _classes(df, target_col)
     if not features or not classes:
         return []
-    n = df.count()
+    counted = saved(_counted(df, target_col), "different-rows")
+    n = counted.count()
     draw = F.pmod(F.xxhash64(*[quoted(c) for c in df.columns], F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = df.filter(draw < min(1.0, rows / max(1, n))).select(*[quoted(c).cast("tinyint").alias(c) for c in features], quoted(target_col).cast("string").alias("_target")).toPandas()
-    x, y = sample[features].to_numpy(float) > 0.5, sample["_target"].to_numpy()
-    out = []
-    for c in classes:
-        r = np.random.default_rng([seed, *c.encode()])
-        good = y == c
-        if not good.any():
-            continue
-
-        def fitness(genes: np.ndarray) -> float:  # -1: any, 0, 1
-            hit = np.ones(len(x), bool)
-            for j in np.flatnonzero(genes >= 0):
-                hit &= x[:, j] == (genes[j] == 1)
-            k = hit.sum()
-            return float((good[hit].mean() if k else 0) ** 2 * np.sqrt(k / len(x)))
-
-        pool = np.full((population, len(features)), -1)
-        for g in pool:  # each begins as a general form of a positive row
-            row = x[r.choice(np.flatnonzero(good))]
-            j = r.choice(len(features), min(len(features), int(r.integers(1, 4))), replace=False)
-            g[j] = row[j]
-        score = np.array([fitness(g) for g in pool])
-        for _ in range(rounds):
-            parents = pool[r.choice(population, (population, 2), p=(score + 1e-9) / (score + 1e-9).sum())]
-            young = np.where(r.random((population, len(features))) < 0.5, parents[:, 0], parents[:, 1])
-            flips = r.random(young.shape) < 1 / len(features)
-            young = np.where(flips, r.integers(-1, 2, young.shape), young)
-            both, both_score = np.concatenate([pool, young]), np.concatenate([score, [fitness(g) for g in young]])
-            best = np.argsort(-both_score, kind="stable")[:population]
-            pool, score = both[best], both_score[best]
-        seen = {tuple((features[j], int(g[j])) for j in np.flatnonzero(g >= 0)) for g in pool[:50]}
-        out += [(list(rule), c) for rule in sorted(seen) if rule]
-    return out
+    sample = counted.filter(draw < min(1.0, rows / max(1, n))).select(F.array(*[quoted(c).cast("int") for c in features]).alias("x"), quoted(target_col).cast("string").alias("y"), F.col("_n").alias("n"))
+    tasks = sample.withColumn("cls", F.explode(F.array(*[F.lit(c) for c in classes])))
+
+    def evolve(key, f):
+        import pandas as pd
+
+        f = f.sort_values(["y", "n"], kind="stable")
+        order = sorted(range(len(f)), key=lambda i: (tuple(f["x"].iloc[i]), str(f["y"].iloc[i])))  # not that of arrival
+        f = f.iloc[order]
+        found = _evolve(np.array(f["x"].tolist(), float) > 0.5, (f["y"] == key[0]).to_numpy(), f["n"].to_numpy(float), key[0], population, rounds, seed)
+        return pd.DataFrame({"cls": key[0], "rule": [[int(j) * 2 + v for j, v in r] for r in found]})
+
+    got = tasks.groupBy("cls").applyInPandas(evolve, "cls string, rule array<int>").collect()
+    return sorted(([(features[k // 2], k % 2) for k in r["rule"]], r["cls"]) for r in got) if got else []
+
+
+def _evolve(x: np.ndarray, good: np.ndarray, weight: np.ndarray, name: str, population: int, rounds: int, seed: int) -> list[tuple]:
+    """Rules as (column, value) pairs; genes are -1 for any, 0 and 1."""
+    r, width, total = np.random.default_rng([seed, *name.encode()]), x.shape[1], weight.sum()
+    if not good.any():
+        return []
+
+    def fitness(genes: np.ndarray) -> float:
+        hit = np.ones(len(x), bool)
+        for j in np.flatnonzero(genes >= 0):
+            hit &= x[:, j] == (genes[j] == 1)
+        k = weight[hit].sum()
+        return float((weight[hit & good].sum() / k if k else 0) ** 2 * np.sqrt(k / total))
+
+    pool = np.full((population, width), -1)
+    for g in pool:  # each begins as a general form of a positive row
+        row = x[r.choice(np.flatnonzero(good), p=weight[good] / weight[good].sum())]
+        j = r.choice(width, min(width, int(r.integers(1, 4))), replace=False)
+        g[j] = row[j]
+    score = np.array([fitness(g) for g in pool])
+    for _ in range(rounds):
+        parents = pool[r.choice(population, (population, 2), p=(score + 1e-9) / (score + 1e-9).sum())]
+        young = np.where(r.random((population, width)) < 0.5, parents[:, 0], parents[:, 1])
+        young = np.where(r.random(young.shape) < 1 / width, r.integers(-1, 2, young.shape), young)
+        both, both_score = np.concatenate([pool, young]), np.concatenate([score, [fitness(g) for g in young]])
+        best = np.argsort(-both_score, kind="stable")[:population]
+        pool, score = both[best], both_score[best]
+    return sorted(r for r in {tuple((int(j), int(g[j])) for j in np.flatnonzero(g >= 0)) for g in pool[:50]} if r)
 
 
 def mine_apriori(df: DataFrame, target_col: str, apriori_min_support: float = 0.01, apriori_metric: str = "lift", apriori_min_metric: float = 0.0) -> list[Rule]:

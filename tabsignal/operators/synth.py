@@ -1,7 +1,7 @@
 """Synthetic rows, class imbalance, random flips, unions.
 
-Random draws come from hashes of a row key and a seed, so they do not depend on
-partitions.  Rows that are equal in all columns draw apart by a row id.
+Random draws come from hashes of a row's content, its number among equal rows,
+and a seed, so they depend neither on partitions nor on files nor on retries.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clean_double, quoted
+from ..functions.scalar import clean_double, probit, quoted
 from .scale import quantile_rank_transform_flexible
 from .types import chosen, numeric_columns
 
@@ -25,38 +25,84 @@ def uniform(key: Column, *seed) -> Column:
     return F.pmod(F.xxhash64(key, *[F.lit(s) for s in seed]), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn("_key", F.monotonically_increasing_id())
+def keyed(df: DataFrame) -> DataFrame:
+    """The rows with ``_key``, a hash of the content and of the number among equal rows; the order is not kept.
+
+    Equal rows are counted (map-side first) and written out again, COPIES in a
+    task's row, so a row that makes up a third of the table is spread.
+    """
+    maps = {c for c, t in df.dtypes if t.startswith("map")}
+    flat = df.select(*[F.array_sort(F.map_entries(quoted(c))).alias(f"_c{i}") if c in maps else quoted(c).alias(f"_c{i}") for i, c in enumerate(df.columns)])
+    names = flat.columns
+    blocks = flat.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).select("*", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPIES})")).alias("_b"))
+    spread = blocks.repartition(F.xxhash64(*names, "_b"))
+    rows = spread.select("*", F.explode(F.expr(f"sequence(1, cast(least({COPIES}, _n - _b * {COPIES}) as int))")).alias("_i"))
+    back = [F.map_from_entries(f"_c{i}").alias(c) if c in maps else F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)]
+    return rows.select(*back, F.xxhash64(*names, F.col("_b"), F.col("_i")).alias("_key"))
+
+
+def normal_share(x: Column) -> Column:
+    """Distribution function of the standard normal, to about 1e-7 (a rational approximation of the tail)."""
+    t = 1 / (1 + F.lit(0.2316419) * F.abs(x))
+    tail = F.exp(-x * x / 2) * F.lit(0.3989422804014327) * t * (F.lit(0.319381530) + t * (F.lit(-0.356563782) + t * (F.lit(1.781477937) + t * (F.lit(-1.821255978) + t * F.lit(1.330274429)))))
+    return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
 def generate_synthetic_data_copula(df: DataFrame, num_rows: int, seed: int = 42) -> DataFrame:
-    """Rows of a Gaussian copula: normal scores' correlation and each column's own quantiles.
+    """Rows of a Gaussian copula: normal scores' correlation and each column's own distribution.
 
-    Numeric columns only; a null raises ValueError.  Only the correlation
-    matrix and 1001 quantiles of each column come to the driver.
+    Numbers follow the column's quantiles.  Texts and booleans follow their
+    shares: a value stands for a part of the unit interval as wide as its
+    share, and its middle gives the normal score.  A null raises ValueError, as
+    do columns of other types and more than CATEGORIES texts.  The correlation
+    matrix, 1001 quantiles of a column, and the shares come to the driver.
     """
-    names = numeric_columns(df)
-    if not names:
-        raise ValueError("no numeric columns")
+    numbers = set(numeric_columns(df))
+    texts = [c for c, t in df.dtypes if t in ("string", "boolean")]
+    other = [c for c in df.columns if c not in numbers and c not in texts]
+    if not df.columns or other:
+        raise ValueError(f"columns that are neither numbers nor texts nor booleans: {other}")
     if any(df.agg(*[F.count_if(quoted(c).isNull()) for c in df.columns]).first()):
         raise ValueError("the table has nulls")
-    normal, _ = quantile_rank_transform_flexible(df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)]), [f"c{i}" for i in range(len(names))])
+    names = list(df.columns)
+    flat = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)])
+    n = flat.count()
+    shares: dict[int, list[tuple]] = {}
+    for i, c in enumerate(names):
+        if c in numbers:
+            continue
+        counts = sorted((tuple(r) for r in flat.groupBy(f"c{i}").count().limit(CATEGORIES + 1).collect()), key=lambda r: str(r[0]))
+        if len(counts) > CATEGORIES:
+            raise ValueError(f"column {c!r} has more than {CATEGORIES} different values")
+        at, shares[i] = 0, []
+        for value, k in counts:
+            shares[i].append((value, at / n, (at + k) / n))
+            at += k
+    scored = [f"c{i}" for i, c in enumerate(names) if c in numbers]
+    normal = quantile_rank_transform_flexible(flat, scored)[0] if scored else flat
+    for i, parts in shares.items():
+        middle = F.element_at(F.create_map(*[F.lit(x) for value, a, b in parts for x in (value, (a + b) / 2)]), F.col(f"c{i}"))
+        normal = normal.withColumn(f"c{i}", probit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), middle))))
     vectors = VectorAssembler(inputCols=[f"c{i}" for i in range(len(names))], outputCol="v", handleInvalid="skip").transform(normal)
     matrix = np.nan_to_num(Correlation.corr(vectors, "v").first()[0].toArray())
     np.fill_diagonal(matrix, 1.0)
     values, basis = np.linalg.eigh(matrix)
     root = basis * np.sqrt(np.maximum(values, 0))
-    grid = [i / 1000 for i in range(1001)]
-    marks = df.agg(*[F.percentile(clean_double(quoted(c)), F.array(*[F.lit(q) for q in grid])).alias(f"q{i}") for i, c in enumerate(names)]).first()
-    quantiles = [list(m) for m in marks]
+    grid = F.array(*[F.lit(k / 1000) for k in range(1001)])
+    marks = flat.agg(F.lit(0), *[F.percentile(clean_double(F.col(c)), grid).alias(c) for c in scored]).first()
     base = df.sparkSession.range(num_rows)
     # Box-Muller from hashed uniforms
     drawn = base.select("id", *[(F.sqrt(-2 * F.ln(1 - uniform(F.col("id"), seed, 2 * j))) * F.cos(2 * np.pi * uniform(F.col("id"), seed, 2 * j + 1))).alias(f"z{j}") for j in range(len(names))])
     mixed = drawn.select(*[sum((F.col(f"z{j}") * float(root[i, j]) for j in range(len(names))), F.lit(0.0)).alias(f"g{i}") for i in range(len(names))])
     out = []
     for i, c in enumerate(names):
-        p = 1 / (1 + F.exp(-1.702 * F.col(f"g{i}")))  # close to the normal distribution function
-        at, table = p * 1000, F.array(*[F.lit(float(q)) for q in quantiles[i]])
+        p = normal_share(F.col(f"g{i}"))
+        if i in shares:
+            table = F.array(*[F.struct(F.lit(value).alias("value"), F.lit(float(b)).alias("until")) for value, _, b in shares[i]])
+            found = F.coalesce(F.filter(table, lambda e: p <= e["until"])[0]["value"], F.lit(shares[i][-1][0])) if shares[i] else F.lit(None)
+            out.append(found.cast(df.schema[c].dataType).alias(c))
+            continue
+        at, table = p * 1000, F.array(*[F.lit(float(q)) for q in marks[f"c{i}"]])
         k = F.floor(at).cast("int")
         low, high = F.get(table, k), F.get(table, F.least(k + 1, F.lit(1000)))
         out.append((low + (high - low) * (at - k)).cast(df.schema[c].dataType).alias(c))
@@ -73,7 +119,9 @@ def generate_synthetic_data(df: DataFrame, num_rows: int, model: str = "gaussian
         raise NotImplementedError(f"model {model!r} needs a deep-learning library; use 'gaussian_copula'")
     made = generate_synthetic_data_copula(df, num_rows, seed)
     marks = F.array(*[F.lit(q / 20) for q in range(21)])
-    names = made.columns
+    names = numeric_columns(made)
+    if not names:
+        return made, df.sparkSession.createDataFrame([], "column string, quality double")
     a = df.agg(*[F.percentile(clean_double(quoted(c)), marks).alias(c) for c in names]).first()
     b = made.agg(*[F.percentile(clean_double(quoted(c)), marks).alias(c) for c in names]).first()
     rows = [(c, float(1 - max(abs(x - y) for x, y in zip(a[c], b[c])) / ((a[c][-1] - a[c][0]) or 1.0))) for c in names]
@@ -94,6 +142,8 @@ def generate_skewed_proportions(df: DataFrame, target_col: str, power: float = 1
     return raw.crossJoin(F.broadcast(weights)).select("target", (F.col("w") / F.col("sum")).alias("proportion"))
 
 
+#: Different values of a text column, at most.
+CATEGORIES = 20_000
 #: From this rate on the whole part is not drawn; copies of a row that are made at once.
 POISSON_MOST, COPIES = 16, 10_000
 
@@ -114,11 +164,11 @@ def apply_class_imbalance(df: DataFrame, target_col: str, proportions: dict | No
     n = sum(counts.values())
     rates = {c: n * proportions.get(c, 0) / scale / k for c, k in counts.items() if c is not None}
     rate = F.coalesce(F.create_map(*[x for c, v in rates.items() for x in (F.lit(c), F.lit(float(v)))])[quoted(target_col)], F.lit(0.0)) if rates else F.lit(0.0)
-    keyed = _keyed(df)
+    drawn = keyed(df)
     whole = F.when(rate < POISSON_MOST, F.lit(0)).otherwise(F.floor(rate)).cast("long")
     times = whole + poisson(uniform(F.col("_key"), random_state), rate - whole)
     names = [quoted(c) for c in df.columns]
-    blocks = keyed.withColumn("_times", times).filter("_times > 0").select(*names, "_times", F.explode(F.expr(f"sequence(0L, (_times - 1) div {COPIES})")).alias("_b"))
+    blocks = drawn.withColumn("_times", times).filter("_times > 0").select(*names, "_times", F.explode(F.expr(f"sequence(0L, (_times - 1) div {COPIES})")).alias("_b"))
     return blocks.select(*names, F.explode(F.expr(f"sequence(1, cast(least({COPIES}, _times - _b * {COPIES}) as int))")).alias("_r")).drop("_r")
 
 
@@ -145,13 +195,13 @@ def flip_boolean_values(df: DataFrame, columns: Sequence[str] | None = None, fli
         raise ValueError("flip_fraction must be between 0 and 1")
     kinds = dict(df.dtypes)
     names = chosen(df, columns) if columns is not None else [c for c, t in df.dtypes if t == "boolean"]
-    keyed = _keyed(df)
+    drawn = keyed(df)
 
     def flipped(i: int, c: str) -> Column:
         other = ~quoted(c) if kinds[c] == "boolean" else (1 - quoted(c)).cast(kinds[c])
         return F.when(uniform(F.col("_key"), seed, i) < flip_fraction, other).otherwise(quoted(c)).alias(c)
 
-    return keyed.select(*[flipped(names.index(c), c) if c in names else quoted(c) for c in df.columns])
+    return drawn.select(*[flipped(names.index(c), c) if c in names else quoted(c) for c in df.columns])
 
 
 def flip_labels(df: DataFrame, target_col: str, flip_fraction: float = 0.1, seed: int = 42) -> DataFrame:
@@ -162,11 +212,11 @@ def flip_labels(df: DataFrame, target_col: str, flip_fraction: float = 0.1, seed
     if not labels:
         return df
     pick = F.element_at(F.array(*[F.lit(x) for x in labels]), (F.floor(uniform(F.col("_key"), seed, 1) * len(labels)) + 1).cast("int")).cast(df.schema[target_col].dataType)
-    return _keyed(df).select(*[F.when(uniform(F.col("_key"), seed) < flip_fraction, pick).otherwise(quoted(c)).alias(c) if c == target_col else quoted(c) for c in df.columns])
+    return keyed(df).select(*[F.when(uniform(F.col("_key"), seed) < flip_fraction, pick).otherwise(quoted(c)).alias(c) if c == target_col else quoted(c) for c in df.columns])
 
 
-def generate_combined_synthetic_data(df: DataFrame, target_col: str | None = None, to_sdv: bool = True, to_synthcity: bool = True, sdv_model: str = "gaussian_copula", sdv_rows: int = 1000, sc_model: str = "ctgan", sc_rows: int = 1000, seed: int = 42) -> DataFrame:
-    """The rows of all generators asked for; none raises ValueError."""
+def generate_combined_synthetic_data(df: DataFrame, target_col: str | None = None, to_sdv: bool = True, to_synthcity: bool = False, sdv_model: str = "gaussian_copula", sdv_rows: int = 1000, sc_model: str = "ctgan", sc_rows: int = 1000, seed: int = 42) -> DataFrame:
+    """The rows of all generators asked for; none raises ValueError.  The deep ones are not part of this library."""
     parts = []
     if to_sdv:
         parts.append(generate_synthetic_data(df, sdv_rows, sdv_model, seed)[0])

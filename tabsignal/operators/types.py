@@ -11,7 +11,29 @@ from pyspark.sql import types as T
 from ..functions.scalar import FALSE_TOKENS, NULL_TOKENS, TRUE_TOKENS, blank_to_null, number, quoted, squeezed
 
 #: Formats tried in this order; the first that reads a value wins.
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "yyyyMMdd")
+DATE_FORMATS = (
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
+    "yyyy-MM-dd",
+    "yyyy/MM/dd",
+    "yyyy/MM/dd HH:mm:ss",
+    "MM/dd/yyyy",
+    "MM/dd/yyyy HH:mm:ss",
+    "MM/dd/yyyy HH:mm",
+    "dd-MM-yyyy",
+    "yyyyMMdd",
+    "yyyyMMdd HH:mm:ss",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "dd-MMM-yyyy",
+    "yyyy-MM",
+)
+#: Texts that begin like an ISO date and time are read as such first, with fractions of seconds and zones.
+ISO_TIME = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?\s*(Z|z|UTC|GMT|[+-][0-9]{1,2}(:?[0-9]{2})?)?$"
 NUMERIC = (T.NumericType,)
 
 
@@ -42,12 +64,15 @@ def clean_raw_strings(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def to_timestamp(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """The moment a text names (in UTC where it has no zone), by the ISO form and then by the formats; else null."""
     text = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    iso = F.regexp_replace(F.regexp_replace(F.upper(text), ",", "."), r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    iso = F.when(text.rlike(ISO_TIME), F.try_to_timestamp(iso))
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
 def parse_datetime_column(df: DataFrame, column: str, floor_to_day: bool = False, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
-    """Text to timestamp (UTC); what no format reads is null."""
+    """Text to timestamp (UTC); what no form reads is null.  Names of months are English."""
     chosen(df, [column])
     kind = df.schema[column].dataType
     parsed = quoted(column).cast("timestamp") if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else to_timestamp(quoted(column), formats)

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import get_stat_registry
 from ..functions.scalar import quoted
-from .grouping import global_row_number
+from ..sources.shared import saved
+from .grouping import global_row_number, ranged
 from .rules import Rule, condition, parse_rule_text, rule_stats, rule_text
-from .stats import CHUNK, apply_statistic_filters, build_filter_config, condition_counts, with_metrics
-from .synth import fixed_poisson, uniform
+from .stats import apply_statistic_filters, build_filter_config
+from .synth import keyed, uniform
 
 METRICS = tuple(get_stat_registry())
 KEYS = ("antecedents", "consequents")
@@ -143,20 +146,59 @@ def create_validation_summary_log(summary_df: DataFrame, metrics: Sequence[str])
     return summary_df.agg(*parts)
 
 
-def _replicate_counts(df: DataFrame, rules: Sequence[Rule], target: Column, weights: Sequence[Column], copies: str = "replicate") -> DataFrame:
-    """Weighted cells of every rule, class and replicate, from one aggregate for each chunk."""
-    out, texts = None, [rule_text(r) for r in rules]
-    per = max(1, CHUNK // max(1, len(weights)))
-    for at in range(0, len(rules), per):
-        part = [condition(df, r) for r in rules[at : at + per]]
-        sums = df.groupBy(target.alias("consequents")).agg(
-            *[F.sum(w).alias(f"_t{k}") for k, w in enumerate(weights)], *[F.sum(F.when(c, w).otherwise(0)).alias(f"_a{i}_{k}") for i, c in enumerate(part) for k, w in enumerate(weights)]
-        )
-        entries = F.array(*[F.struct(F.lit(texts[at + i]).alias("antecedents"), F.lit(k).alias(copies), F.col(f"_a{i}_{k}").alias("a"), F.col(f"_t{k}").alias("target_total")) for i in range(len(part)) for k in range(len(weights))])
-        rows = sums.select("consequents", F.explode(entries).alias("e")).select("consequents", "e.*")
-        out = rows if out is None else out.unionByName(rows)
-    each = Window.partitionBy("antecedents", copies)  # a row for each class
-    return out.withColumn("antecedent_total", F.sum("a").over(each)).withColumn("total", F.sum("target_total").over(each))
+#: Parts into which different activation patterns are dealt by their hash.
+PATTERN_PARTS = 256
+
+
+def _patterns(df: DataFrame, rules: Sequence[Rule], target_col: str, block: Column | None = None) -> DataFrame:
+    """pattern (a text of 0 and 1, a place for each rule), target, block, n, part: the table as replicates need it."""
+    bits = F.concat(F.lit(""), *[F.when(condition(df, r), "1").otherwise("0") for r in rules])
+    target = F.coalesce(quoted(target_col).cast("string"), F.lit("null"))
+    flat = df.select(bits.alias("pattern"), target.alias("target"), (block.cast("string") if block is not None else F.lit("")).alias("block"))
+    counted = flat.groupBy("pattern", "target", "block").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("part", F.pmod(F.xxhash64("pattern"), F.lit(PATTERN_PARTS)).cast("int"))
+
+
+def _seeds(*what) -> np.random.Generator:
+    return np.random.default_rng(np.frombuffer(hashlib.blake2b("\x1f".join(map(str, what)).encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.uint64))
+
+
+def _bits(patterns) -> np.ndarray:
+    """Pattern by rule."""
+    return np.array([np.frombuffer(p.encode(), np.uint8) for p in patterns]).reshape(len(patterns), -1) == 48 + 1
+
+
+def _totals(sums: dict[str, np.ndarray], rows: dict[str, np.ndarray], replicates: Sequence[int]):
+    """Sums of weights by class, replicate and rule (the last place: all rows) as a long frame without zeros."""
+    import pandas as pd
+
+    parts = []
+    for target, table in sums.items():
+        both = np.concatenate([table, rows[target][:, None]], axis=1)
+        r, i = np.nonzero(both)
+        parts.append(pd.DataFrame({"target": target, "replicate": np.asarray(replicates)[r], "rule": i, "a": both[r, i].astype(np.int64)}))
+    return pd.concat(parts) if parts else pd.DataFrame({"target": [], "replicate": [], "rule": [], "a": []})
+
+
+_TOTALS = "target string, replicate long, rule int, a long"
+
+
+def _replicate_metrics(partial: DataFrame, rules: Sequence[Rule], classes: DataFrame, replicates: Sequence[int], copies: str) -> DataFrame:
+    """Metrics of every rule, class and replicate from sums of weights; a class without weight in a replicate has zeros."""
+    spark = partial.sparkSession
+    summed = partial.groupBy("target", "replicate", "rule").agg(F.sum("a").alias("a"))
+    texts = spark.createDataFrame([(i, rule_text(r)) for i, r in enumerate(rules)], "rule int, antecedents string")
+    runs = spark.createDataFrame([(int(k),) for k in replicates], "replicate long")
+    # rules, classes and replicates are the result itself
+    grid = texts.join(runs).join(classes)
+    rows = grid.join(summed, ["rule", "replicate", "target"], "left")
+    whole = summed.filter(F.col("rule") == len(rules)).select("replicate", "target", F.col("a").alias("target_total"))
+    each = Window.partitionBy("replicate", "rule")  # a row for each class
+    counts = rows.join(whole, ["replicate", "target"], "left").select(
+        "antecedents", F.col("target").alias("consequents"), F.col("replicate").alias(copies), F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("target_total", F.lit(0)).alias("target_total"),
+        F.sum(F.coalesce("a", F.lit(0))).over(each).alias("antecedent_total"), F.sum(F.coalesce("target_total", F.lit(0))).over(each).alias("total"),
+    )
+    return _metrics_of(counts, copies)
 
 
 def _metrics_of(counts: DataFrame, copies: str) -> DataFrame:
@@ -166,25 +208,34 @@ def _metrics_of(counts: DataFrame, copies: str) -> DataFrame:
     return counts.filter("total > 0").select("antecedents", "consequents", copies, *[f(cells).alias(k) for k, f in registry.items()])
 
 
-def bootstrap_stats(df: DataFrame, rules: Sequence[Rule], target_col: str, n_bootstrap: int = 10, random_state: int = 42, batch: int = 25, block: Column | None = None) -> DataFrame:
+def bootstrap_stats(df: DataFrame, rules: Sequence[Rule], target_col: str, n_bootstrap: int = 10, random_state: int = 42, block: Column | None = None) -> DataFrame:
     """Metrics of rules in each bootstrap replicate: replicate, antecedents, consequents, metrics.
 
-    A replicate weighs each row (or each block of rows) by a Poisson(1) number
-    drawn from its key, so all replicates come from passes over the table as it
-    lies; a replicate's row count varies around the table's.
+    The table is read once and counted by activation pattern and class.  A
+    replicate weighs each row by a Poisson(1) number, so a pattern of n rows by
+    a Poisson(n) number, drawn from the pattern's content (each block of rows
+    by one Poisson(1) number, if blocks are given); its row count varies around
+    the table's.  A task holds the sums by class, replicate and rule.
     """
     if not rules or n_bootstrap < 1:
         raise ValueError("rules and replicates are needed")
-    keyed = df.withColumn("_key", block.cast("string") if block is not None else F.monotonically_increasing_id().cast("string"))
-    target = F.coalesce(quoted(target_col).cast("string"), F.lit("null"))
-    out = None
-    for at in range(0, n_bootstrap, batch):
-        ks = range(at, min(n_bootstrap, at + batch))
-        drawn = keyed.select("*", *[uniform(F.col("_key"), random_state, k).alias(f"_u{k}") for k in ks])
-        weighted = drawn.select("*", *[fixed_poisson(F.col(f"_u{k}"), 1.0).alias(f"_w{k}") for k in ks])
-        rows = _metrics_of(_replicate_counts(weighted, rules, target, [F.col(f"_w{k}") for k in ks]), "replicate").withColumn("replicate", F.col("replicate") + at)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    blocks = block is not None
+    counted = saved(_patterns(df, rules, target_col, block), "patterns")
+
+    def draw(frames):
+        sums, rows = {}, {}
+        for f in frames:
+            bits = _bits(f["pattern"])
+            weights = np.empty((len(f), n_bootstrap))
+            for i, (pattern, target, name, n) in enumerate(zip(f["pattern"], f["target"], f["block"], f["n"])):
+                weights[i] = n * _seeds(random_state, "block", name).poisson(1, n_bootstrap) if blocks else _seeds(random_state, pattern, target).poisson(n, n_bootstrap)
+            for target in f["target"].unique():
+                some = (f["target"] == target).to_numpy()
+                sums[target] = sums.get(target, 0) + weights[some].T @ bits[some]
+                rows[target] = rows.get(target, 0) + weights[some].sum(0)
+        yield _totals(sums, rows, range(n_bootstrap))
+
+    return _replicate_metrics(counted.mapInPandas(draw, _TOTALS), rules, counted.select("target").distinct(), range(n_bootstrap), "replicate")
 
 
 def validate_bootstrap(df: DataFrame, mining_res: DataFrame, cfg, target_col: str, n_bootstrap: int = 10, random_state: int = 42, resample_method: str = "traditional", block_size: int = 5, date_col: str = "date", id_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -211,18 +262,18 @@ def shuffle_dataframe(df: DataFrame, mode: str = "target", target_col: str | Non
     A permutation joins row numbers in one random order with those in another.
     """
     seed = 0 if random_state is None else random_state
-    keyed = df.withColumn("_key", F.monotonically_increasing_id())
     if mode == "rows":
-        return keyed.orderBy(uniform(F.col("_key"), seed)).drop("_key")
+        return keyed(df).orderBy(uniform(F.col("_key"), seed), "_key").drop("_key")
     if mode not in ("target", "columns"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "target" and target_col not in df.columns:
         raise ValueError(f"no target column {target_col!r}")
     names = [target_col] if mode == "target" else list(df.columns)
-    base = global_row_number(keyed, ["_key"], "_row")
+    rows = saved(keyed(df), "keyed")
+    base = global_row_number(rows, ["_key"], "_row")
     out = base.drop("_key", *names)
     for i, c in enumerate(names):
-        drawn = keyed.select(quoted(c), uniform(F.col("_key"), seed, i).alias("_u"), F.col("_key").alias("_key"))
+        drawn = rows.select(quoted(c), uniform(F.col("_key"), seed, i).alias("_u"), F.col("_key").alias("_key"))
         mixed = global_row_number(drawn, ["_u", "_key"], "_row").select(F.col("_row").alias("_other"), quoted(c))
         out = out.join(mixed, out["_row"] == mixed["_other"]).drop("_other")
     return out.select(*[quoted(c) for c in df.columns])
@@ -245,32 +296,72 @@ def summarize_null_distribution(null_df: DataFrame, metric_col: str, iteration_c
 def null_stats(df: DataFrame, rules: Sequence[Rule], target_col: str, permutations: Sequence[int], random_state: int = 42) -> DataFrame:
     """Metrics of rules under permutations of the target: permutation, antecedents, consequents, metrics.
 
-    Each permutation draws the target anew from a random order of rows; the
-    table's activations stay as they are, only labels are joined to them.
+    A permutation of the labels deals the classes' rows at random to the
+    activation patterns, so the counts are drawn as such: first for parts of
+    the patterns (at the driver, PATTERN_PARTS numbers for a class and
+    permutation), then for the patterns of a part, in a task.  The table is
+    read once, and every draw depends on contents and seeds alone.
     """
-    active = df.select(*[condition(df, r).alias(f"_r{i}") for i, r in enumerate(rules)], quoted(target_col).cast("string").alias("_t")).withColumn("_key", F.monotonically_increasing_id())
-    base = global_row_number(active, ["_key"], "_row").drop("_t", "_key")
-    out = None
-    for k in permutations:
-        drawn = active.select("_t", uniform(F.col("_key"), random_state, k).alias("_u"), "_key")
-        labels = global_row_number(drawn, ["_u", "_key"], "_row").select("_row", "_t")
-        mixed = base.join(labels, "_row")
-        counts = condition_counts(mixed, {rule_text(r): F.col(f"_r{i}") for i, r in enumerate(rules)}, "_t")
-        rows = with_metrics(counts).withColumn("permutation", F.lit(k))
-        out = rows if out is None else out.unionByName(rows)
+    counted = saved(_patterns(df, rules, target_col), "patterns")
+    permutations, parts = [int(k) for k in permutations], {r[0]: r[1] for r in counted.groupBy("part").agg(F.sum("n")).collect()}
+    classes = sorted((r[0], r[1]) for r in counted.groupBy("target").agg(F.sum("n")).collect())
+    names, order = [c for c, _ in classes], sorted(parts)
+    shares = np.zeros((len(permutations), len(names), len(order)), np.int64)
+    for k, permutation in enumerate(permutations):
+        r, left = _seeds(random_state, "permutation", permutation), np.array([parts[p] for p in order], np.int64)
+        for c, (_, n) in enumerate(classes):
+            shares[k, c] = _deal(r, left, n)
+            left = left - shares[k, c]
+
+    def draw(key, f):
+        part = order.index(int(key[0]))
+        f = f.groupby("pattern", sort=True, as_index=False)["n"].sum()
+        bits, size = _bits(f["pattern"]), f["n"].to_numpy()
+        sums = {c: np.zeros((len(permutations), bits.shape[1])) for c in names}
+        rows = {c: np.zeros(len(permutations)) for c in names}
+        for k, permutation in enumerate(permutations):
+            r, left = _seeds(random_state, "part", permutation, int(key[0])), size.copy()
+            for c, name in enumerate(names):
+                got = _deal(r, left, int(shares[k, c, part]))
+                left = left - got
+                sums[name][k], rows[name][k] = got @ bits, got.sum()
+        return _totals(sums, rows, permutations)
+
+    return _replicate_metrics(counted.groupBy("part").applyInPandas(draw, _TOTALS), rules, counted.select("target").distinct(), permutations, "permutation")
+
+
+def _deal(r: np.random.Generator, boxes: np.ndarray, n: int) -> np.ndarray:
+    """How many of n rows, drawn without replacement from boxes of these sizes, come from each."""
+    out, left, rest = np.zeros(len(boxes), np.int64), int(boxes.sum()), n
+    for i, size in enumerate(boxes.tolist()):
+        if not rest:
+            break
+        left -= size
+        if size:
+            out[i] = rest if not left else _hypergeometric(r, size, left, rest)
+            rest -= int(out[i])
     return out
 
 
+def _hypergeometric(r: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """One hypergeometric number; the library's is limited to sums under 10**9, beyond that by the normal limit."""
+    if good + bad < 10**9:
+        return int(r.hypergeometric(good, bad, n))
+    share = good / (good + bad)
+    deviation = np.sqrt(n * share * (1 - share) * (good + bad - n) / (good + bad - 1))
+    return int(min(max(round(r.normal(n * share, deviation)), n - bad, 0), good, n))
+
+
 def validate_null(df: DataFrame, mining_res: DataFrame, target_col: str, n_null: int = 1000, early_stop_metric: str = "lift", es_m_permutations: int = 50, rel_error_threshold: float = 0.01, random_state: int = 42, save=None) -> tuple[DataFrame, DataFrame]:
     """Null distribution of the selected rules, in batches, until a batch's relative error is small; and its summary.
 
-    ``save`` turns a batch's lazy table into a stored one (for example a writer
-    and reader of Parquet); the default caches it.
+    ``save`` turns a batch's lazy table into a stored one; the default writes
+    it to the shared folder.
     """
     rules = [r for r in selected_rules(mining_res) if all(f in df.columns for f, _ in r)]
     if not rules:
         raise ValueError("no selected rules")
-    keep = save or (lambda t: t.cache())
+    keep = save or (lambda t: saved(t, "null"))
     done, out = 0, None
     while done < n_null:
         ks = range(done, min(n_null, done + es_m_permutations))
@@ -308,14 +399,12 @@ def compute_empirical_pvals(actual_stats: DataFrame, null_stats: DataFrame, metr
 
 
 def global_cumulative(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Adds the cumulative sum of a column over the whole table in order, ranges first, then inside them."""
-    borders = sorted(set(df.select(quoted(order)).na.drop().approxQuantile(order, [i / 32 for i in range(1, 32)], 0.01)))
-    band = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b < quoted(order))) if borders else F.lit(0)
-    banded = df.withColumn("_band", band)
-    sums = banded.groupBy("_band").agg(F.sum(value).alias("_s"))
-    before = sums.select("_band", F.coalesce(F.sum("_s").over(Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy("_band").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
-    return banded.withColumn("_inside", inside).join(F.broadcast(before), "_band").withColumn(name, F.col("_inside") + F.col("_before")).drop("_band", "_inside", "_before")
+    """Adds the cumulative sum of a column over the whole table in order, ranges first, then inside them; ties together."""
+    placed = ranged(df, [quoted(order).asc_nulls_last()], "cumulative").drop("_inside")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    shifts = placed.groupBy("_part").agg(F.sum(value).alias("_s")).select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(quoted(order).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("_inside", inside).join(F.broadcast(shifts), "_part").withColumn(name, F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
 
 
 def adjust_pvals(df: DataFrame, pval_col: str, method: str = "fdr_bh", out_col: str = "pval_adjusted") -> DataFrame:

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a local one is set."""
+    """The folder of spark.checkpoint.dir; where that is unset a local session sets its own, any other raises RuntimeError."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "tabsignal-shared")
         spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
