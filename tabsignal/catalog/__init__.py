@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mining, panel
+from . import chains, mining, panel
 from .base import QUERIES, SQL
 
-__all__ = ["mining", "panel", "queries", "oracle_sql"]
+__all__ = ["chains", "mining", "panel", "queries", "oracle_sql"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

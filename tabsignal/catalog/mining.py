@@ -209,12 +209,6 @@ def _part_metrics(odd: int) -> str:
     return f"WITH {_HALF_RULES.format(f'l_orderkey % 2 = {odd}')}, {_LONG}, {_COUNTS} {metrics_sql('c')}"
 
 
-@query("retest_rules", f"SELECT r.antecedents, r.consequents, r.lift, r.observations FROM ({_part_metrics(1)}) r WHERE r.antecedents IN (SELECT antecedents FROM ({_part_metrics(0)}) WHERE {_SELECTED})")
-def _(spark, sf_dir):
-    train = stats.generate_statistics(_part(spark, sf_dir, False), CONFIG)[0]
-    return rounded(validate.test_mined_rules(train, _part(spark, sf_dir, True), CONFIG, "status").select("antecedents", "consequents", "lift", "observations"))
-
-
 _COMBINED = f"SELECT antecedents, consequents, a.lift AS split_0_lift, b.lift AS split_1_lift, a.confidence AS split_0_confidence, b.confidence AS split_1_confidence, a.observations AS split_0_observations, b.observations AS split_1_observations, a.support AS sa, b.support AS sb FROM ({_part_metrics(0)}) a FULL JOIN ({_part_metrics(1)}) b USING (antecedents, consequents)"
 
 
@@ -270,28 +264,35 @@ def _(spark, sf_dir):
 
 def _actual_null(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.filter("event_id % 50 = 0").select("event_id", F.col("value").alias("lift")), e.filter("event_id % 50 <> 0").select(F.col("value").alias("lift"))
+    return e.select("event_id", F.col("value").alias("lift")), table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 7919 % 10007 / 100.0).alias("lift"))
+
+
+#: Each level of the null values with the share at or below and at or above it.
+_ACTUAL = "a AS (SELECT event_id, value AS lift FROM events), z AS (SELECT o_orderkey * 7919 % 10007 / 100.0 AS lift FROM orders), n AS (SELECT count(*) AS n, median(lift) AS m FROM z)"
+_P = {"greater": ("lift", ">="), "less": ("lift", "<="), "two_sided": ("abs(lift - m)", ">=")}
+
+
+def _pval_sql(value, sign):
+    """Counts by an ordered union of both tables, each null value once."""
+    order = "DESC" if sign == ">=" else "ASC"
+    return f"""WITH {_ACTUAL}, u AS (SELECT event_id, {value} AS v, 0 AS k FROM a, n UNION ALL SELECT NULL, {value}, 1 FROM z, n),
+c AS (SELECT event_id, sum(k) OVER (ORDER BY v {order} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below FROM u)
+SELECT event_id, round(below / n, 6) AS pval FROM c, n WHERE event_id IS NOT NULL"""
 
 
-_ACTUAL = "a AS (SELECT event_id, value AS lift FROM events WHERE event_id % 50 = 0), z AS (SELECT value AS lift FROM events WHERE event_id % 50 <> 0), n AS (SELECT count(*) AS n, median(lift) AS m FROM z)"
-_P = {
-    "greater": "(SELECT count(*) FROM z WHERE z.lift >= a.lift)",
-    "less": "(SELECT count(*) FROM z WHERE z.lift <= a.lift)",
-    "two_sided": "(SELECT count(*) FROM z WHERE abs(z.lift - n.m) >= abs(a.lift - n.m))",
-}
 for _k, _v in _P.items():
 
-    @query(f"empirical_pvals_{_k}", f"WITH {_ACTUAL} SELECT event_id, round({_v} / n.n, 6) AS pval FROM a, n")
+    @query(f"empirical_pvals_{_k}", _pval_sql(*_v))
     def _(spark, sf_dir, k=_k):
         actual, null = _actual_null(spark, sf_dir)
         return rounded(validate.compute_empirical_pvals(actual, null, "lift", k).select("event_id", "pval"))
 
 
-_PVALS = "p AS (SELECT event_id, (event_id * 37 % 1000 + 1) / 20000.0 AS pval FROM events WHERE event_id < 900)"
+_PVALS = "p AS (SELECT event_id, (event_id * 37 % 1000 + 1) / 20000.0 AS pval FROM events)"
 
 
 def _pvals(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("event_id < 900").select("event_id", ((F.col("event_id") * 37 % 1000 + 1) / F.lit(20000.0)).alias("pval"))
+    return table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") * 37 % 1000 + 1) / F.lit(20000.0)).alias("pval"))
 
 
 def _adjusted(factor):
@@ -304,7 +305,7 @@ def _(spark, sf_dir):
     return rounded(validate.adjust_pvals(_pvals(spark, sf_dir), "pval", "fdr_bh", "adjusted").select("event_id", "adjusted"))
 
 
-@query("fdr_by", _adjusted("(SELECT sum(1.0 / i) FROM range(1, 901) t(i))"))
+@query("fdr_by", _adjusted("(SELECT sum(1.0 / i) FROM (SELECT row_number() OVER () AS i FROM p))"))
 def _(spark, sf_dir):
     return rounded(validate.adjust_pvals(_pvals(spark, sf_dir), "pval", "fdr_by", "adjusted").select("event_id", "adjusted"))
 
@@ -315,35 +316,18 @@ def _(spark, sf_dir):
     return rounded(validate.summarize_fdr_results(df, groupby_col="grp"))
 
 
-@query("shuffle_target", "SELECT status, count(*) AS n FROM (SELECT l_linestatus AS status FROM lineitem) GROUP BY status")
-def _(spark, sf_dir):
-    return validate.shuffle_dataframe(rules_input(spark, sf_dir), "target", "status", 7).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("resample_block", "SELECT count(*) AS n FROM events")
-def _(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    return validate.resample_dataframe(e, "block", 10, "ts").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("resample_block_ids", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
-def _(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return validate.resample_dataframe(e, "block_ids", 5, "ts", ["user_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("bootstrap_replicates")
 def _(spark, sf_dir):
-    return rounded(validate.bootstrap_stats(rules_input(spark, sf_dir), [sorted(r) for r in RULE_LIST], "status", 10))
+    return rounded(validate.bootstrap_stats(rules_input(spark, sf_dir), [sorted(r) for r in RULE_LIST], "status", 1000))
 
 
 @query("null_permutations")
 def _(spark, sf_dir):
-    return rounded(validate.null_stats(rules_input(spark, sf_dir), [sorted(r) for r in RULE_LIST], "status", range(3)))
+    return rounded(validate.null_stats(rules_input(spark, sf_dir), [sorted(r) for r in RULE_LIST], "status", range(50)))
 
 
 @query("fdr_pipeline_rules")
 def _(spark, sf_dir):
     df, mined = _rules(spark, sf_dir)
-    null = validate.null_stats(df, [sorted(r) for r in RULE_LIST], "status", range(3))
+    null, _summary = validate.validate_null(df, mined.withColumn("selected", F.lit(True)), "status")
     return rounded(validate.validate_multiple_tests(mined, null))
