@@ -269,7 +269,8 @@ def perform_elcs(df: DataFrame, target_col: str, rows: int = ELCS_ROWS, populati
         order = sorted(range(len(f)), key=lambda i: (tuple(f["x"].iloc[i]), str(f["y"].iloc[i])))  # not that of arrival
         f = f.iloc[order]
         found = _evolve(np.array(f["x"].tolist(), float) > 0.5, (f["y"] == key[0]).to_numpy(), f["n"].to_numpy(float), key[0], population, rounds, seed)
-        return pd.DataFrame({"cls": key[0], "rule": [[int(j) * 2 + v for j, v in r] for r in found]})
+        rules = pd.Series([[j * 2 + v for j, v in r] for r in found], dtype=object)  # may be empty
+        return pd.DataFrame({"cls": pd.Series([key[0]] * len(found), dtype=object), "rule": rules})
 
     got = tasks.groupBy("cls").applyInPandas(evolve, "cls string, rule array<int>").collect()
     return sorted(([(features[k // 2], k % 2) for k in r["rule"]], r["cls"]) for r in got) if got else []
@@ -282,6 +283,8 @@ def _evolve(x: np.ndarray, good: np.ndarray, weight: np.ndarray, name: str, popu
         return []
 
     def fitness(genes: np.ndarray) -> float:
+        if (genes < 0).all():  # says nothing
+            return 0.0
         hit = np.ones(len(x), bool)
         for j in np.flatnonzero(genes >= 0):
             hit &= x[:, j] == (genes[j] == 1)
@@ -295,11 +298,12 @@ def _evolve(x: np.ndarray, good: np.ndarray, weight: np.ndarray, name: str, popu
         g[j] = row[j]
     score = np.array([fitness(g) for g in pool])
     for _ in range(rounds):
-        parents = pool[r.choice(population, (population, 2), p=(score + 1e-9) / (score + 1e-9).sum())]
+        parents = pool[r.choice(len(pool), (population, 2), p=(score + 1e-9) / (score + 1e-9).sum())]
         young = np.where(r.random((population, width)) < 0.5, parents[:, 0], parents[:, 1])
         young = np.where(r.random(young.shape) < 1 / width, r.integers(-1, 2, young.shape), young)
         both, both_score = np.concatenate([pool, young]), np.concatenate([score, [fitness(g) for g in young]])
-        best = np.argsort(-both_score, kind="stable")[:population]
+        first = np.sort(np.unique(both, axis=0, return_index=True)[1])  # each form once, so the pool stays diverse
+        best = first[np.argsort(-both_score[first], kind="stable")][:population]
         pool, score = both[best], both_score[best]
     return sorted(r for r in {tuple((int(j), int(g[j])) for j in np.flatnonzero(g >= 0)) for g in pool[:50]} if r)
 
