@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import INFINITE_RATIO, bin_index, clean_double, quoted, ratio
-from .grouping import group_stats, with_group
+from .grouping import group_quantiles, join_stats, with_group
 from .types import chosen, numeric_columns, replace_columns
 
 NO_DATA = "no_data"
@@ -86,13 +86,13 @@ def bin_columns_flexible(df: DataFrame, columns="all", quantiles: Sequence[float
         names = [c for c in names if not c.startswith("dt_")]
     typed = replace_columns(df, {c: clean_double(quoted(c)) for c in names})
     base = with_group(typed, grouping, list(id_cols or ()), date_col, n_datetime_units)
-    wanted = F.array(*[F.lit(float(q)) for q in quantiles])
-    edges = [F.array_distinct(F.percentile(quoted(c), wanted)).alias(f"_e{i}") for i, c in enumerate(names)]
-    joined = group_stats(base, edges)
+    table = group_quantiles(base, names, [float(q) for q in quantiles])
+    table = table.select("_group", *[F.array_distinct(f"_q{i}").alias(f"_e{i}") for i in range(len(names))])
+    joined = join_stats(base, table)
     value = lambda c: _label(bin_index(quoted(c), F.col(f"_e{names.index(c)}")), F.col(f"_e{names.index(c)}"), quantile_labels, nan_placeholder)
     out = joined.select(*[value(c).alias(c) if c in names else quoted(c) for c in df.columns])
     entries = [F.struct(F.col("_group").alias("group"), F.lit(c).alias("column"), F.col(f"_e{i}").alias("edges")) for i, c in enumerate(names)]
-    log = base.groupBy("_group").agg(*edges).select(F.explode(F.array(*entries)).alias("e")).select("e.*") if names else df.sparkSession.createDataFrame([], "group string, column string, edges array<double>")
+    log = table.select(F.explode(F.array(*entries)).alias("e")).select("e.*") if names else df.sparkSession.createDataFrame([], "group string, column string, edges array<double>")
     return out, log
 
 

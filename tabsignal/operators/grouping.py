@@ -63,11 +63,65 @@ def with_group(df: DataFrame, grouping: str, ids: Sequence[str] = (), date: str
     return df.withColumn(name, F.concat(label, F.lit("_window_"), F.floor(row / units).cast("string")))
 
 
+#: Up to so many rows a quantile is an aggregate that holds a group's different values; beyond, they stay spread.
+AGGREGATED_ROWS = 20_000_000
+
+
+def group_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], group: str = "_group") -> DataFrame:
+    """``group``, _q0, _q1, ...: for each column the array of its exact quantiles, linearly interpolated; null without values.
+
+    For tables of more than AGGREGATED_ROWS rows no task holds a group: the
+    different values are counted (map-side first), ordered over the cluster by
+    group and value, and cumulated range by range; the values at the wanted
+    ranks are picked out by their cumulative counts.
+    """
+    marks = F.array(*[F.lit(float(q)) for q in shares])
+    if df.count() <= AGGREGATED_ROWS:
+        return df.groupBy(group).agg(*[F.percentile(quoted(c).cast("double"), marks).alias(f"_q{i}") for i, c in enumerate(columns)])
+    out = df.select(group).distinct()
+    for i, c in enumerate(columns):
+        found = _spread_quantiles(df.select(F.col(group).alias("_g"), quoted(c).cast("double").alias("_v")), shares).withColumnRenamed("_at", f"_q{i}")
+        out = out.join(found, out[group].eqNullSafe(found["_g"]), "left").drop("_g")
+    return out
+
+
+def _spread_quantiles(df: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """_g, _at of a table of _g and _v."""
+    levels = df.filter("_v IS NOT NULL").groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    placed = ranged(levels, [F.col("_g").asc_nulls_first(), F.col("_v").asc()], "levels")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    shifts = placed.groupBy("_part").agg(F.sum("_k").alias("_s")).select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_shift"))
+    inside = F.sum("_k").over(Window.partitionBy("_part").orderBy("_inside").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = saved(placed.withColumn("_upto", inside).join(F.broadcast(shifts), "_part").select("_g", "_v", "_k", (F.col("_upto") + F.col("_shift")).alias("_upto")), "ranks")
+    groups = ranked.groupBy("_g").agg(F.min(F.col("_upto") - F.col("_k")).alias("_start"), F.sum("_k").alias("_n"))
+    # a group's row goes to each of SPREAD parts of its values
+    parts = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part"))
+    both = ranked.withColumn("_part", F.pmod(F.xxhash64("_v"), F.lit(SPREAD)).cast("int")).withColumnRenamed("_g", "_h")
+    both = both.join(parts, both["_h"].eqNullSafe(parts["_g"]) & (both["_part"] == parts["_part"]))
+    picks = []
+    for j, q in enumerate(shares):
+        place = (F.col("_n") - 1) * F.lit(float(q))
+        for k, rank in enumerate((F.floor(place), F.ceil(place))):
+            here = (F.col("_start") + rank >= F.col("_upto") - F.col("_k")) & (F.col("_start") + rank < F.col("_upto"))
+            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{j}_{k}"))
+    got = both.groupBy("_g").agg(F.max("_n").alias("_n"), *picks)
+    rest = lambda q: (F.col("_n") - 1) * F.lit(float(q)) - F.floor((F.col("_n") - 1) * F.lit(float(q)))
+    return got.select("_g", F.array(*[F.col(f"_{j}_0") + (F.col(f"_{j}_1") - F.col(f"_{j}_0")) * rest(q) for j, q in enumerate(shares)]).alias("_at"))
+
+
+#: Parts over which the values of a group are spread.
+SPREAD = 32
+
+
+def join_stats(df: DataFrame, stats: DataFrame, group: str = "_group") -> DataFrame:
+    """Adds the columns of a table of one row for each group."""
+    return df.join(stats.withColumnRenamed(group, "_of"), df[group].eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
 def group_stats(df: DataFrame, aggregates: Sequence[Column], group: str = "_group") -> DataFrame:
     """Adds aggregates of each row's group, by an aggregate and a join.
 
     Partial aggregation comes before the shuffle, so a large group does not
     meet in one task as it would in a window.
     """
-    stats = df.groupBy(group).agg(*aggregates)
-    return df.join(stats.withColumnRenamed(group, "_of"), df[group].eqNullSafe(F.col("_of")), "left").drop("_of")
+    return join_stats(df, df.groupBy(group).agg(*aggregates), group)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import quoted
+from .grouping import group_quantiles
 from .types import chosen, numeric_columns, replace_columns
 
 LOG_ALIASES = {"success": ("fill_successful", "imputed_successful", "success"), "percent": ("percent_filled", "percent_imputed", "percent")}
@@ -57,8 +58,12 @@ def impute_numeric_per_group(df: DataFrame, id_cols: Sequence[str], impute_cols:
     cols = [c for c in chosen(df, impute_cols) if c not in id_cols]
     if not cols:
         return df, df.sparkSession.createDataFrame([], "column string")
-    how = F.median if impute_strategy == "median" else F.avg
-    fills = df.groupBy(*[quoted(c).alias(f"_k{i}") for i, c in enumerate(id_cols)]).agg(*[how(quoted(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(cols)])
+    keys = [quoted(c).alias(f"_k{i}") for i, c in enumerate(id_cols)]
+    if impute_strategy == "mean":
+        fills = df.groupBy(*keys).agg(*[F.avg(quoted(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(cols)])
+    else:
+        table = group_quantiles(df.select(F.struct(*keys).alias("_group") if keys else F.lit(0).alias("_group"), *[quoted(c) for c in cols]), cols, [0.5])
+        fills = table.select(*[F.col(f"_group._k{i}").alias(f"_k{i}") for i in range(len(keys))], *[F.col(f"_q{i}")[0].alias(f"_v{i}") for i in range(len(cols))])
     typed = replace_columns(df, {c: quoted(c).cast("double") for c in cols})
     return _fill(typed, id_cols, fills, cols), _log(typed, id_cols, fills, cols)
 

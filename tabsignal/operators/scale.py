@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import clean_double, divide, probit, quoted
-from .grouping import group_stats, with_group
+from .grouping import group_quantiles, group_stats, join_stats, with_group
 from .types import chosen, numeric_columns, replace_columns
 
 
@@ -29,7 +29,7 @@ def winsorize_flexible(df: DataFrame, cols="all", grouping: str = "none", id_col
     if not 0 <= lower_quantile < upper_quantile <= 1:
         raise ValueError("quantiles must rise from 0 to 1")
     base, names = _grouped(df, cols, grouping, id_cols, date_col, n_datetime_units)
-    stats = group_stats(base, [F.percentile(quoted(c), F.array(F.lit(lower_quantile), F.lit(upper_quantile))).alias(f"_q{i}") for i, c in enumerate(names)])
+    stats = join_stats(base, group_quantiles(base, names, (lower_quantile, upper_quantile)))
     clipped = {c: F.when(quoted(c).isNotNull(), F.greatest(F.col(f"_q{i}")[0], F.least(F.col(f"_q{i}")[1], quoted(c)))) for i, c in enumerate(names)}
     out = stats.select(*[clipped[c].alias(c) if c in clipped else quoted(c) for c in df.columns])
     cells = [F.struct(F.col("_group").alias("group"), F.lit(c).alias("column"), quoted(c).alias("before"), clipped[c].alias("after")) for c in names]
@@ -56,16 +56,17 @@ def robust_scale_flexible(df: DataFrame, cols="all", grouping: str = "none", id_
     if not 0 <= low < high <= 100:
         raise ValueError("quantile_range must rise from 0 to 100")
     base, names = _grouped(df, cols, grouping, id_cols, date_col, n_datetime_units)
-    wanted = F.array(F.lit(low / 100), F.lit(0.5), F.lit(high / 100))
-    aggregates = [a for i, c in enumerate(names) for a in (F.percentile(quoted(c), wanted).alias(f"_q{i}"), F.count(quoted(c)).alias(f"_n{i}"))]
+    sizes = base.groupBy(F.col("_group").alias("_sized")).agg(*[F.count(quoted(c)).alias(f"_n{i}") for i, c in enumerate(names)])
+    table = group_quantiles(base, names, (low / 100, 0.5, high / 100))
+    table = table.join(sizes, table["_group"].eqNullSafe(sizes["_sized"])).drop("_sized")
 
     def scaled(c: str) -> Column:
         q = F.col(f"_q{names.index(c)}")
         return F.when(F.col(f"_n{names.index(c)}") >= 2, divide(quoted(c) - q[1], q[2] - q[0]))
 
-    out = group_stats(base, aggregates).select(*[scaled(c).alias(c) if c in names else quoted(c) for c in df.columns])
+    out = join_stats(base, table).select(*[scaled(c).alias(c) if c in names else quoted(c) for c in df.columns])
     fields = lambda i, c: F.struct(F.col("_group").alias("group"), F.lit(c).alias("column"), F.col(f"_q{i}")[1].alias("median"), F.col(f"_q{i}")[0].alias("q_low"), F.col(f"_q{i}")[2].alias("q_high"), (F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]).alias("iqr"), F.col(f"_n{i}").alias("n_obs"))
-    return out, _long(base.groupBy("_group").agg(*aggregates), [fields(i, c) for i, c in enumerate(names)])
+    return out, _long(table, [fields(i, c) for i, c in enumerate(names)])
 
 
 def quantile_rank_transform_flexible(df: DataFrame, cols="all", mode: str = "quantile_normal", grouping: str = "none", id_cols=None, date_col=None, n_datetime_units=None) -> tuple[DataFrame, DataFrame]:

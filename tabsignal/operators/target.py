@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import bin_index, clean_double, divide, quoted
 from .features import NO_DATA, _label, validate_pipeline_input
-from .grouping import group_stats, with_group
+from .grouping import group_quantiles, join_stats, with_group
 from .types import chosen, to_timestamp
 
 RETURN_MODES = ("pct_change", "log_return", "vol_adjusted", "smoothed")
@@ -170,8 +170,7 @@ def bin_target_column(df: DataFrame, bins: Sequence[float], labels: Sequence[str
     if binning_method != "quantile":
         raise ValueError(f"unknown binning method {binning_method!r}")
     base = with_group(df.withColumn(target_col, x), grouping, list(id_cols or ()), date_col, n_datetime_units)
-    edges = F.array_distinct(F.percentile(quoted(target_col), F.array(*[F.lit(float(q)) for q in bins]))).alias("_edges")
-    joined = group_stats(base, [edges])
+    joined = join_stats(base, group_quantiles(base, [target_col], [float(q) for q in bins]).select("_group", F.array_distinct("_q0").alias("_edges")))
     label = _label(bin_index(quoted(target_col), F.col("_edges")), F.col("_edges"), labels, nan_placeholder)
     return joined.withColumn(target_col, label).select(*[quoted(c) for c in df.columns])
 

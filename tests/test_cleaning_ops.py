@@ -1,6 +1,7 @@
 """Types, missing data, scaling, pruning."""
 
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -163,3 +164,34 @@ def test_empty_tables(spark):
     assert scale.zscore_flexible(empty, ["x"], "datetime", ["id"], "t", 3)[0].count() == 0
     assert missing.handle_missing_data(empty, id_cols=["id"])[0].count() == 0
     assert types.detect_column_types(empty)["categorical"] == ["id", "t", "x", "k"]
+
+
+@pytest.mark.parametrize("shares", [(0.0, 0.5, 1.0), (0.013, 0.25, 0.77)])
+def test_spread_quantiles_are_exact(spark, monkeypatch, shares):
+    from tabsignal.operators import grouping
+
+    r = random.Random(5)
+    rows = [(r.choice(["a", "a", "a", "b", None]), r.choice([None, 1.0, 2.5, r.gauss(0, 9)])) for _ in range(900)] + [("c", None), ("d", 4.0)]
+    df = spark.createDataFrame(rows, "_group string, x double").repartition(5)
+    want = {x["_group"]: x["_q0"] for x in grouping.group_quantiles(df, ["x"], shares).collect()}
+    monkeypatch.setattr(grouping, "AGGREGATED_ROWS", 0)
+    got = {x["_group"]: x["_q0"] for x in grouping.group_quantiles(df, ["x"], shares).collect()}
+    assert set(got) == set(want) and got.pop("c") is None and want.pop("c") is None
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-12)
+
+
+def test_row_numbers_of_texts_and_constants_are_spread(spark):
+    from tabsignal.operators import grouping
+
+    df = spark.createDataFrame([("same", f"t{i:04d}") for i in range(400)], "k string, t string").repartition(3)
+    numbered = grouping.global_row_number(df, ["k", "t"], "n")
+    assert {x["t"]: x["n"] for x in numbered.collect()} == {f"t{i:04d}": i for i in range(400)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        equal = spark.range(4000).selectExpr("1 AS a")
+        parts = grouping.ranged(equal.withColumn("_tie", F.monotonically_increasing_id()), [F.col("a").asc(), F.col("_tie").asc()], "test").groupBy("_part").count().collect()
+        assert len(parts) > 2 and max(p["count"] for p in parts) < 2500
+        assert sorted(x["n"] for x in grouping.global_row_number(equal, ["a"], "n").collect()) == list(range(4000))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
