@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, pick, positions, saved, text_batches
+from .common import drop_saved, in_slices, pick, positions, saved, text_batches
 from .decontaminate import normal
 from .graph import components, look_up
 
@@ -178,10 +178,10 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
     return source.mapInArrow(run, f"id {source.schema[id_col].dataType.simpleString()}, mark bigint, cls binary, paths array<bigint>")
 
 
-def _sorted(rows: DataFrame, what: str) -> DataFrame:
+def _sorted(rows: DataFrame, what: str, store=saved) -> DataFrame:
     """Rows with tree and path as a sorted forest: ranges of it in runs, each run in order."""
     order = ["tree", "path", "cls"]
-    return saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("run", F.spark_partition_id()), what)
+    return store(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("run", F.spark_partition_id()), what)
 
 
 def _runs(batches, names: list[str]) -> Iterator[dict]:
@@ -446,18 +446,26 @@ def _together(rows: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, similarity: float, n: int, recall: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, mark, cls) of all documents, and classes (cls, class_id, component, group_id, n_links)."""
+    """Rows (id, mark, cls) of all documents, and classes (cls, class_id, component, group_id, n_links).
+
+    Both are stored tables; what is stored on the way is deleted at the end.
+    """
     import pyarrow as pa
 
     text_batches(docs.sparkSession)
-    least = shortest_prefix(similarity, recall)
+    least, between = shortest_prefix(similarity, recall), []
+
+    def store(df: DataFrame, what: str) -> DataFrame:
+        between.append(saved(df, what))
+        return between[-1]
+
     rows = saved(signatures(docs, n, id_col, text_col), "signatures")
-    classes = saved(rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"), F.first("paths").alias("paths")), "classes")
+    classes = store(rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"), F.first("paths").alias("paths")), "classes")
 
-    near = company(_sorted(classes.select(F.posexplode("paths").alias("tree", "path"), "cls"), "forest"), least)
-    seats = buckets(_sorted(matched(near, least, similarity, recall), "matched"), least)
+    near = company(_sorted(classes.select(F.posexplode("paths").alias("tree", "path"), "cls"), "forest", store), least)
+    seats = buckets(_sorted(matched(near, least, similarity, recall), "matched", store), least)
     seats = seats.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("places"))
-    members = saved(seats.join(classes, "cls").withColumn("seats", F.col("places.bucket")), "members")
+    members = store(seats.join(classes, "cls").withColumn("seats", F.col("places.bucket")), "members")
 
     agree = int(TREES * DEPTH * similarity - DEVIATIONS * np.sqrt(TREES * DEPTH * similarity * (1 - similarity)))
 
@@ -472,7 +480,7 @@ def _classes(docs: DataFrame, similarity: float, n: int, recall: float, id_col:
     asked = _pairs_of_blocks(members.select("cls", "paths", "seats", F.explode("places").alias("p")).select("cls", "paths", "seats", "p.*"), "cls", "paths", "seats")
     wanted = asked.mapInArrow(filtered, "bucket bigint, first int, second int, block int, cls binary")
     wanted = wanted.groupBy("cls").agg(F.collect_list(F.struct("bucket", "first", "second", "block")).alias("wanted"))
-    wanted = saved(wanted.join(members.select("cls", "class_id", "size", "seats"), "cls"), "wanted")
+    wanted = store(wanted.join(members.select("cls", "class_id", "size", "seats"), "cls"), "wanted")
 
     texts = pick(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # the members' size has no bound, so they are not broadcast, at any size
@@ -499,13 +507,16 @@ def _classes(docs: DataFrame, similarity: float, n: int, recall: float, id_col:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.binary()))], ["node", "linked", "peer"])
 
-    verified = saved(sent.mapInArrow(compare, "node binary, linked long, peer binary"), "verified")
+    verified = store(sent.mapInArrow(compare, "node binary, linked long, peer binary"), "verified")
     groups = components(verified.select(F.col("node").alias("u"), F.col("peer").alias("v")))
     linked = verified.groupBy("node").agg(F.sum("linked").alias("linked"))
     table = classes.select("cls", "class_id", "size").join(linked.withColumnRenamed("node", "cls"), "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-    table = saved(table.select("cls", "class_id", F.coalesce("component", "cls").alias("component"), (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "linked")
+    table = store(table.select("cls", "class_id", F.coalesce("component", "cls").alias("component"), (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "linked")
     least_id = table.groupBy("component").agg(F.min("class_id").alias("group_id"))
-    return rows.select("id", "mark", "cls"), saved(look_up(table, "component", least_id, "cls"), "groups")
+    found = saved(look_up(table, "component", least_id, "cls"), "groups")
+    for passed in (groups, *between):
+        drop_saved(passed)
+    return rows.select("id", "mark", "cls"), found
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -548,6 +559,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, re
     judged = saved(judged.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), (place == F.col("best")).alias("_stays"), "n"), "judged")
     marked = flat.withColumn("_m", F.xxhash64(F.col(text)))
     same = marked[at].eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark"))
+    drop_saved(placed)
     left = marked.join(judged.filter(~F.col("_stays")), same, "left_anti")
     again = judged.filter("_stays AND n > 1").select("_id", "_mark")
     if again.limit(1).count():
