@@ -17,7 +17,7 @@ from ..operators.target import as_timestamp
 from ..operators.types import numeric_columns
 from ..session import session
 from ..sources.steplog import PipelineLogger
-from ..sources.tables import load_table, save_params_to_yaml, save_table
+from ..sources.tables import load_table, save_params_to_yaml, save_table, file_exists, under, write_text
 from . import stages
 
 DONE = "_DONE"
@@ -70,16 +70,15 @@ def research_pipeline(
     cfg = make_config(default_params, custom_params)
     features, prices = load_table(spark, feature_path), load_table(spark, hloc_path)
     validate_datasets(features, prices, cfg)
-    folder = Path(res_save_path) / cfg.run_name
-    folder.mkdir(parents=True, exist_ok=True)
-    logger = PipelineLogger(str(folder), f"{cfg.run_name}_log", cfg.log_markdown, cfg.log_json, cfg.log_max_rows)
-    save_params_to_yaml(dict(params), str(folder / "merged_config.yaml"))
+    folder = under(res_save_path, cfg.run_name)
+    logger = PipelineLogger(folder, f"{cfg.run_name}_log", cfg.log_markdown, cfg.log_json, cfg.log_max_rows)
+    save_params_to_yaml(dict(params), under(folder, "merged_config.yaml"))
     out: dict[str, DataFrame] = {}
 
     def keep(name: str, df: DataFrame) -> None:
         out[name] = df
         flat = df.select(*[F.to_json(quoted(c)).alias(c) if t.startswith(("array", "struct", "map")) and res_filetype == "csv" else quoted(c) for c, t in df.dtypes])
-        save_table(flat, str(folder / name), res_filetype, single=True)
+        save_table(flat, under(folder, name), res_filetype, single=True)
 
     if to_train_test:
         combined, log = stages.train_test_pipeline(features, prices, cfg, logger)
@@ -104,7 +103,7 @@ def research_pipeline(
             result, log = stages.fdr_pipeline(mined, null_df, cfg, logger)
             keep("fdr_res", result)
             keep("fdr_log", log)
-    (folder / DONE).write_text("")
+    write_text(under(folder, DONE), "")
     return out
 
 
@@ -126,8 +125,8 @@ def resolve_path(path: str, base: str | None = None) -> str:
 def run_grid_config(spark: SparkSession, i: int, params: dict, grid: dict) -> str | None:
     """One combination as run ``{base}_{i + 1}``; one that is finished is skipped."""
     name = f"{grid.get('base_name', 'run')}_{i + 1}"
-    folder = Path(grid.get("res_save_path", "data/results"))
-    if (folder / name / DONE).exists():
+    folder = str(grid.get("res_save_path", "data/results"))
+    if file_exists(under(folder, name, DONE)):
         return None
     RUN(
         spark,
@@ -136,7 +135,7 @@ def run_grid_config(spark: SparkSession, i: int, params: dict, grid: dict) -> st
         custom_params={**(grid.get("custom_params") or {}), **params, "run_name": name},
         feature_path=grid["feature_path"],
         hloc_path=grid["hloc_path"],
-        res_save_path=str(folder),
+        res_save_path=folder,
         res_filetype=grid.get("res_filetype", "csv"),
     )
     return name

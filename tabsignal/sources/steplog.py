@@ -4,22 +4,35 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from .tables import under, write_text
+
 
 class PipelineLogger:
-    """Appends steps with their settings and the first rows of their tables; files begin empty."""
+    """Appends steps with their settings and the first rows of their tables; files begin empty.
+
+    The folder may be on any file system; remote files are written anew with
+    each step, as not all systems can append.
+    """
 
     def __init__(self, folder: str, name: str = "log", markdown: bool = True, jsonl: bool = True, max_rows: int = 20):
-        self.folder, self.max_rows = Path(folder), max_rows
-        self.folder.mkdir(parents=True, exist_ok=True)
-        self.markdown = self.folder / f"{name}.md" if markdown else None
-        self.jsonl = self.folder / f"{name}.jsonl" if jsonl else None
+        self.folder, self.max_rows = str(folder), max_rows
+        self.markdown = under(self.folder, f"{name}.md") if markdown else None
+        self.jsonl = under(self.folder, f"{name}.jsonl") if jsonl else None
+        self.written: dict[str, str] = {}
         for file in (self.markdown, self.jsonl):
             if file:
-                file.write_text("")
+                write_text(file, "")
+
+    def _append(self, file: str, text: str) -> None:
+        if "://" not in file:
+            with open(file, "a") as f:
+                f.write(text)
+            return
+        self.written[file] = self.written.get(file, "") + text
+        write_text(file, self.written[file])
 
     def log_step(self, step_name: str, info: dict | None = None, df=None, max_rows: int | None = None) -> None:
         """``df``: a table, a list or a dict of tables, or None."""
@@ -41,10 +54,8 @@ class PipelineLogger:
         for name, (columns, rows) in samples.items():
             cell = lambda v: str(v).replace("|", "\\|").replace("\n", " ")
             lines += [f"**{name}**", "", "| " + " | ".join(map(cell, columns)) + " |", "|" + "---|" * len(columns), *["| " + " | ".join(map(cell, r)) + " |" for r in rows], ""]
-        with self.markdown.open("a") as f:
-            f.write("\n".join(lines) + "\n")
+        self._append(self.markdown, "\n".join(lines) + "\n")
 
     def _log_to_json(self, now: str, step: str, info: dict, samples: dict) -> None:
         entry = {"timestamp": now, "step": step, "parameters": info, "data_samples": {k: [dict(zip(c, r)) for r in rows] for k, (c, rows) in samples.items()}}
-        with self.jsonl.open("a") as f:
-            f.write(json.dumps(entry, default=str) + "\n")
+        self._append(self.jsonl, json.dumps(entry, default=str) + "\n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 from pathlib import Path
 from typing import NamedTuple
@@ -21,6 +22,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def under(folder: str, *names: str) -> str:
+    """A path below a folder, which may be on any file system."""
+    return "/".join([str(folder).rstrip("/"), *names])
+
+
+def _remote(path: str):
+    """The file system and path object of a path with a scheme, by the active session."""
+    spark = SparkSession.getActiveSession()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def file_exists(path: str) -> bool:
+    if "://" not in path:
+        return Path(path).exists()
+    system, p = _remote(path)
+    return system.exists(p)
+
+
+def write_text(path: str, text: str) -> None:
+    """A small text file, over what is there; folders are made."""
+    if "://" not in path:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text)
+        return
+    system, p = _remote(path)
+    stream = system.create(p, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     """A .csv or .parquet file or folder, by its suffix in any case.
 
@@ -42,7 +74,7 @@ def save_table(df: DataFrame, path: str, filetype: str = "parquet", single: bool
     """
     if filetype not in ("csv", "parquet"):
         raise ValueError(f"only csv and parquet are written, not {filetype!r}")
-    target = str(Path(path).with_suffix("." + filetype)) if "://" not in str(path) else str(path).rsplit(".", 1)[0] + "." + filetype
+    target = str(Path(path).with_suffix("." + filetype)) if "://" not in str(path) else re.sub(r"\.[^./]*$", "", str(path)) + "." + filetype
     writer = (df.coalesce(1) if single else df).write.mode("overwrite")
     writer.parquet(target) if filetype == "parquet" else writer.option("header", True).csv(target)
     return target
@@ -62,8 +94,7 @@ def copy_yaml_to_output(source_path: str, output_dir: str) -> str:
 def save_params_to_yaml(params: dict, path: str) -> None:
     import yaml
 
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(yaml.safe_dump(dict(params), sort_keys=False))
+    write_text(str(path), yaml.safe_dump(dict(params), sort_keys=False))
 
 
 def load_samples(spark: SparkSession, folder: str) -> Samples:

@@ -212,6 +212,24 @@ def test_tables_and_logs(spark, tmp_path, days):
     assert "## one" in (tmp_path / "log.md").read_text()
 
 
+def test_files_by_scheme(spark, tmp_path, days):
+    """Paths with a scheme go through Spark's file systems."""
+    folder = f"file://{tmp_path}/a.b"
+    log = PipelineLogger(folder, "steps")
+    log.log_step("one", {"k": 1}, days)
+    log.log_step("two")
+    assert [json.loads(x)["step"] for x in (tmp_path / "a.b/steps.jsonl").read_text().splitlines()] == ["one", "two"]
+    tables.save_params_to_yaml({"b": 1}, tables.under(folder, "p.yaml"))
+    assert tables.file_exists(f"{folder}/p.yaml") and not tables.file_exists(f"{folder}/q.yaml")
+    path = tables.save_table(days, f"{folder}/days", "parquet")
+    assert path == f"{folder}/days.parquet" and tables.load_table(spark, path).count() == 10
+
+
+def test_repeated_names_are_an_error():
+    with pytest.raises(ValueError):
+        config.load_params(None, {"winsor_cols": ["a", "a"]})
+
+
 def test_stream(spark, tmp_path, days):
     days.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(days.schema).parquet(str(tmp_path / "in"))
