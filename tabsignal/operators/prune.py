@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import clean_double, quoted
 from .scale import winsorize_flexible
+from .stats import CHUNK
 from .types import chosen, numeric_columns
 
 
@@ -32,12 +33,16 @@ def drop_low_variance_columns(df: DataFrame, cols: Sequence[str] | str | None =
 
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """first, second, correlation of each pair, over rows where both are there."""
-    pairs = list(combinations(cols, 2))
     values = {c: clean_double(quoted(c)) for c in cols}
     both = lambda a, b: values[a].isNotNull() & values[b].isNotNull()
-    row = df.agg(*[F.corr(F.when(both(a, b), values[a]), F.when(both(a, b), values[b])).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    entries = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"_{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)]))
-    return row.select(entries.alias("e")).select("e.*")
+    pairs, out = list(combinations(cols, 2)), df.sparkSession.createDataFrame([], "first string, second string, correlation double")
+    for at in range(0, len(pairs), CHUNK):
+        part = pairs[at : at + CHUNK]
+        row = df.agg(*[F.corr(F.when(both(a, b), values[a]), F.when(both(a, b), values[b])).alias(f"_{i}") for i, (a, b) in enumerate(part)])
+        entries = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"_{i}").alias("correlation")) for i, (a, b) in enumerate(part)]))
+        rows = row.select(entries.alias("e")).select("e.*")
+        out = rows if at == 0 else out.unionByName(rows)
+    return out
 
 
 def drop_highly_correlated_columns(df: DataFrame, cols: Sequence[str] | str | None = None, correlation_threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:

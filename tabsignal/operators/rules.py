@@ -178,11 +178,11 @@ def rule_stats(df: DataFrame, rules: Sequence[Rule], target_col: str, stat_regis
     if not depths:
         return table.withColumn("rule_depth", F.lit(0))
     depth = df.sparkSession.createDataFrame(list(depths.items()), "antecedents string, rule_depth int")
-    return table.join(F.broadcast(depth), "antecedents").select(*table.columns, "rule_depth")
+    return table.join(depth, "antecedents").select(*table.columns, "rule_depth")
 
 
 def merge_multivar_map_into_stats(multivar_stats: DataFrame, multivar_map: dict[str, str], antecedents_col: str = "antecedents") -> DataFrame:
     """Adds ``human_readable_rule`` of each rule column."""
     texts = multivar_stats.sparkSession.createDataFrame(list(multivar_map.items()) or [("", "")], "rule_column string, human_readable_rule string")
     key = F.regexp_replace(quoted(antecedents_col), r"\s*==\s*1$", "")
-    return multivar_stats.join(F.broadcast(texts), key == F.col("rule_column"), "left")
+    return multivar_stats.join(texts, key == F.col("rule_column"), "left")

@@ -159,6 +159,16 @@ def test_pruning(spark):
     assert summary["shape"] == (12, 5) and summary["constant_columns"] == ["c", "s"] and summary["categorical_summary"]["s"] == {"mode": "s", "freq": 12}
 
 
+def test_many_correlations_are_counted_in_chunks(spark, monkeypatch):
+    r = random.Random(3)
+    df = spark.createDataFrame([[r.gauss(0, 1) for _ in range(5)] for _ in range(60)], [f"c{i}" for i in range(5)])
+    want = sorted(map(tuple, prune.correlations(df, df.columns).collect()))
+    monkeypatch.setattr(prune, "CHUNK", 3)
+    got = sorted(map(tuple, prune.correlations(df, df.columns).collect()))
+    assert len(got) == 10 and [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id string, t int, x double, k string")
     assert scale.zscore_flexible(empty, ["x"], "datetime", ["id"], "t", 3)[0].count() == 0
