@@ -103,7 +103,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         def pour():
             keys = list(held)
-            out = pa.RecordBatch.from_arrays([pa.array([k.decode() for k in keys], pa.string()), pa.array(list(map(bucket, keys)), pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "bucket", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
             held.clear()
             return out
 
@@ -116,7 +116,9 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if held:
             yield pour()
 
-    return source.mapInArrow(run, "word string, bucket int, n long").groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("n").alias("n"))
+    counts = source.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    ending = F.substring(F.col("word").cast("binary"), -3, 3)  # as :func:`bucket` does
+    return counts.select("word", (F.crc32(ending) % BUCKETS).cast("int").alias("bucket"), "n")
 
 
 @dataclass
@@ -527,16 +529,16 @@ def fit(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: st
     what it reads, and the weights are averaged by tokens.  ``read_tokens`` is
     how many the rounds read.
     """
-    source = pick(docs, id_col, text_col)
-    count = source.count()
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    got = sorted(((str(r[0]), r[1] or "") for r in source.filter(draw < min(1.0, rows / max(1, count))).collect()))
-    network = Network(vocab.prior).fit([_outputs(vocab, words_of(t))[0] for _, t in got])
+    if tokens is None:
+        text_batches(docs.sparkSession)
+        tokens = tokenise(pick(docs, id_col, text_col), docs.sparkSession.sparkContext.broadcast(vocab), round_of(id_col), id_col, text_col)
+    own = tokens.filter(F.col("part") < ROUNDS)
+    count = own.count()
+    draw = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    got = sorted((str(r[0]), bytes(r[1])) for r in own.filter(draw < min(1.0, rows / max(1, count))).select("id", "outputs").collect())
+    network = Network(vocab.prior).fit([np.frombuffer(t, np.uint16) for _, t in got])
     network.read_tokens = 0
     if count:
-        if tokens is None:
-            text_batches(docs.sparkSession)
-            tokens = tokenise(source, docs.sparkSession.sparkContext.broadcast(vocab), round_of(id_col), id_col, text_col)
         for k in range(ROUNDS):
             network.read_tokens += _round(tokens.filter(F.col("part") == k).select("outputs"), network, ROUND_RATE * (1 - 0.8 * k / ROUNDS))
     return network

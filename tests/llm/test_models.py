@@ -273,6 +273,12 @@ def test_network_reads_every_training_document(spark, monkeypatch):
         assert (net.p["x"] != other.p["x"]).any()
 
 
+def test_buckets_of_counted_words(spark):
+    texts = ["a", "bc def ghij éa 한국어 x\u0301", "ab " * 3]
+    counted = {r["word"]: (r["bucket"], r["n"]) for r in rnn_lm.count_words(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert counted["ab"][1] == 3 and {w: b for w, (b, _) in counted.items()} == {w: rnn_lm.bucket(w.encode()) for w in counted}
+
+
 def test_words_of_columns():
     import pyarrow as pa
 
