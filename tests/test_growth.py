@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabsignal.operators import synth
+from tabsignal.operators import synth, types
 
 
 def test_copula_quantiles_come_from_ranks(spark):
@@ -22,3 +22,22 @@ def test_copula_mixes_numbers_and_texts(spark):
     df = spark.createDataFrame([(float(i % 50), "A" if i % 50 > 30 else "B") for i in range(2000)], "x double, t string")
     got = synth.generate_combined_synthetic_data(df, sdv_rows=3000).agg(F.avg("x"), F.avg(F.when(F.col("t") == "A", F.col("x")))).first()
     assert abs(got[0] - 24.5) < 2 and got[1] > 28
+
+
+def test_shapes_keep_every_date(spark):
+    r = random.Random(3)
+    seeds = ["2024-01-31 03:04:05", "2024-01-31T03:04", "2024/02/29", "12/31/2023 10:11", "31-12-2023", "20240131", "20240131 01:02:03", "Jan 5, 2024", "march 05, 2024", "5 Sep 2024", "05-JUN-2024", "2024-07", "-2024-01-01", "00005 May 2024", "2024-01-31 03:04:05.25+0530", "12.5", "maybe"]
+    texts = [*seeds, "+12024-01-01"]
+    for _ in range(3000):
+        t = list(r.choice(seeds))
+        for _ in range(r.randint(1, 2)):
+            k = r.randrange(len(t))
+            t[k : k + r.randint(0, 1)] = r.choice(["", *"0123456789 -/:,.+TtZa"])
+        texts.append("".join(t))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    tried = [F.try_to_timestamp(F.trim("t"), F.lit(f)) for f in types.DATE_FORMATS]
+    lost = df.filter(types.to_timestamp(F.col("t")).isNull() & F.coalesce(*tried).isNotNull())
+    assert lost.collect() == []
+    kept = F.coalesce(F.when(~F.trim("t").rlike(types.ISO_TIME), F.coalesce(*tried)))
+    assert df.filter(kept.isNotNull() & (types.to_timestamp(F.col("t")) != kept)).collect() == []
+    assert all(types._shape(f) for f in types.DATE_FORMATS)
