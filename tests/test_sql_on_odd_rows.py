@@ -3,7 +3,6 @@
 from datetime import datetime, timedelta
 
 import duckdb
-import pytest
 
 import __spark_entry__
 
@@ -46,3 +45,11 @@ def test_trends_against_zero(spark, tmp_path):
 def test_engineered_features_against_zero(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "engineer_features", events=zeros(spark))
     assert got == want and any(r[2] is None for r in want)
+
+
+def test_target_of_prices_of_zero(spark, tmp_path):
+    at = lambda i: datetime(2024, 1, 1) + timedelta(hours=i)
+    views = [(1, 4.0), (3, 0.0), (5, 3.0), (7, None), (9, 2.0), (11, 0.0), (13, 0.0), (15, 8.0), (17, 4.0)]
+    rows = [(i, at(i), 1, "view", v) for i, v in views] + [(i, at(i), 1, "click", 1.0) for i in range(0, 20, 2)]
+    got, want = against_sql(spark, tmp_path, "target_chain", events=spark.createDataFrame(rows, EVENTS))
+    assert got == want and len(want) == 6
