@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabsignal.operators import synth, types, validate
+from tabsignal.operators import miners, synth, types, validate
 
 
 def test_copula_quantiles_come_from_ranks(spark):
@@ -50,3 +50,13 @@ def test_harmonic_numbers(spark):
     got = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").orderBy("n").select(validate.harmonic(F.col("n"))).collect()]
     assert got[:-1] == pytest.approx([float(np.sum(1 / np.arange(1, n + 1))) for n in sizes[:-1]], rel=1e-14)
     assert got[-1] == pytest.approx(np.log(3e9) + np.euler_gamma, rel=1e-10)
+
+
+def test_trees_learn_from_different_rows(spark, monkeypatch):
+    rows = [(i % 2, i // 2 % 2, "y" if i % 2 and i // 2 % 2 or i % 16 == 0 else "n") for i in range(4000)]
+    df = spark.createDataFrame(rows, "a int, b int, t string")
+    sizes, plain = [], miners._vectors
+    monkeypatch.setattr(miners, "_vectors", lambda *x: sizes.append(plain(*x).count()) or plain(*x))
+    assert miners.mine_rulefit(df, "t") and miners.perform_cart(df, "t", 3, min_samples_leaf=900)
+    assert max(sizes) <= 8
+    assert miners.perform_cart(df, "t", 3, min_samples_leaf=2001) == []
