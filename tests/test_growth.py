@@ -60,3 +60,18 @@ def test_trees_learn_from_different_rows(spark, monkeypatch):
     assert miners.mine_rulefit(df, "t") and miners.perform_cart(df, "t", 3, min_samples_leaf=900)
     assert max(sizes) <= 8
     assert miners.perform_cart(df, "t", 3, min_samples_leaf=2001) == []
+
+
+def test_frequent_sets_of_counted_baskets(spark):
+    from itertools import combinations
+
+    r = random.Random(5)
+    baskets = [sorted(x for x in "abcdef" if r.random() < 0.5) for _ in range(60)]
+    df = spark.createDataFrame([(b, i % 7 + 1) for i, b in enumerate(baskets)], "items array<string>, n long")
+    want = {}
+    for i, b in enumerate(baskets):
+        for k in range(1, 7):
+            for c in combinations(b, k):
+                want[c] = want.get(c, 0) + i % 7 + 1
+    got = {tuple(sorted(x["items"])): x["freq"] for x in miners._frequent_sets(df, 20).collect()}
+    assert got == {c: n for c, n in want.items() if n >= 20}
