@@ -21,7 +21,6 @@ from __future__ import annotations
 import copy
 import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,8 +48,8 @@ SPAN = 2000
 LONG = 48
 #: Bytes of text that are tokenised together.
 TOKENISED_BYTES = 6_000_000
-#: Tokens that a worker scores at once, and counts that it gathers before it passes them on.
-BUFFER_TOKENS, GATHER = 6_000_000, 200_000
+#: Tokens that a worker scores at once.
+BUFFER_TOKENS = 6_000_000
 #: The end token's key; no word holds a space.
 END = b" end"
 
@@ -93,28 +92,18 @@ def _coded(texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, bucket, n over all rows; counts are summed in each task before they are sent."""
+    """word, bucket, n over all rows; counts are summed over many texts at once and in each task before they are sent."""
     import pyarrow as pa
 
     source = pick(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def pour():
-            keys = list(held)
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
-
-        for batch in in_slices(batches, 0):
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-            held[END] += batch.num_rows
-            if len(held) > GATHER:
-                yield pour()
-        if held:
-            yield pour()
+        for batch in _joined(batches, 0, TOKENISED_BYTES):
+            different, codes, _ = _coded(batch.column(0))
+            times = np.bincount(codes, minlength=len(different))
+            real = np.flatnonzero(times)  # the empty word is none
+            words = pa.array(different, pa.binary()).take(pa.array(real)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([words, pa.array(times[real], pa.int64())], ["word", "n"])
 
     counts = source.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     ending = F.substring(F.col("word").cast("binary"), -3, 3)  # as :func:`bucket` does
@@ -169,7 +158,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.tanh(x * x.dtype.type(0.5))
+    """In place."""
+    x *= x.dtype.type(0.5)
+    np.tanh(x, out=x)
     x += 1
     x *= x.dtype.type(0.5)
     return x
@@ -182,6 +173,18 @@ def _exponents(logits: np.ndarray, bounded: bool) -> np.ndarray:
     return np.exp(logits, out=logits)
 
 
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    """A last column of ones, which takes the biases of :meth:`Network._heads`."""
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """By a product with ones, which is faster than a sum over short rows."""
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 class Network:
     """A gated recurrent unit with a class-factored softmax; float32 throughout."""
 
@@ -203,17 +206,27 @@ class Network:
             "ob": np.log(sorted_prior).astype(f),
         }
 
+    def _inputs(self) -> np.ndarray:
+        """What each slot adds to the gates, the bias among it."""
+        return self.p["x"] + self.p["b"]
+
     def step(self, h: np.ndarray, tokens: np.ndarray) -> tuple:
         """New state; tokens are slots."""
-        p = self.p
-        a = p["x"][tokens]
-        a += p["b"]
-        g = h @ p["u"]
+        return self._move(h, self._inputs()[tokens])
+
+    def _move(self, h: np.ndarray, a: np.ndarray) -> tuple:
+        """New state; a: rows of :meth:`_inputs`."""
+        g = h @ self.p["u"]
         gates = _sigmoid(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
         n = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
         return n + z * (h - n), z, r, n, g[:, 2 * HIDDEN :]
 
+    def _heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of the classes and of their members, the biases as a last row."""
+        p = self.p
+        return np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["o"], p["ob"][:, None]], axis=1)
+
     def _bounded(self) -> bool:
         """Whether every logit lies within what exp can hold; states are between -1 and 1."""
         p = self.p
@@ -221,87 +234,84 @@ class Network:
 
     def log_prob(self, h: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Natural log-probability of each slot after state h."""
-        p = self.p
         cls, member = slots // self.size, slots % self.size
         bounded, rows = self._bounded(), np.arange(len(slots))
-        order = np.argsort(slots, kind="stable")
-        h, cls, member = h[order], cls[order], member[order]
-        share = h @ p["c"]
-        share += p["cb"]
-        _exponents(share, bounded)
-        chance = np.log(share[rows, cls] / share.sum(1) + 1e-30)
+        order = np.argsort(slots.astype(np.uint16), kind="stable")  # of 16 bits: by digits
+        h, cls, member = _with_ones(h[order]), cls[order], member[order]
+        classes, members = self._heads()
+        share = _exponents(h @ classes, bounded)
+        chance = np.log(share[rows, cls] / _row_sums(share) + 1e-30)
         ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
         for k in range(CLASSES):
             i, j = ends[k], ends[k + 1]
             if i < j:
-                inner = h[i:j] @ p["o"][k]
-                inner += p["ob"][k]
-                _exponents(inner, bounded)
-                chance[i:j] += np.log(inner[rows[: j - i], member[i:j]] / inner.sum(1) + 1e-30)
+                inner = _exponents(h[i:j] @ members[k], bounded)
+                chance[i:j] += np.log(inner[rows[: j - i], member[i:j]] / _row_sums(inner) + 1e-30)
         out = np.empty(len(slots), chance.dtype)
         out[order] = chance
         return out
 
     def _gradient(self, h0: np.ndarray, x: np.ndarray, first: np.ndarray, good: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
         """Gradients over one window: x slots (time, lane), first: whether a document begins there, good: whether there is a token."""
-        p, t_max = self.p, len(x)
-        states, steps, h = [], [], h0
+        p, t_max, h, inputs = self.p, len(x), h0, self._inputs()[x]
+        states, z, r, cand, inner = np.empty((5, t_max, len(h0), HIDDEN), np.result_type(h0, inputs))
         for t in range(t_max):
             if first[t].any():
                 h = np.where(first[t][:, None], np.float32(0), h)
-            states.append(h)
-            new = self.step(h, x[t])
-            steps.append(new)
-            h = new[0]
+            states[t] = h
+            h, z[t], r[t], cand[t], inner[t] = self._move(h, inputs[t])
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        every, slots = np.concatenate(states), x.ravel()
-        order = np.argsort(slots, kind="stable")  # by class, then by member
+        every, slots = states.reshape(-1, HIDDEN), x.ravel()
+        order = np.argsort(slots.astype(np.uint16), kind="stable")  # by class, then by member
         if good is not None:
             order = order[good.ravel()[order]]
-        hs, slots = every[order], slots[order]
+        hs, slots, (classes, members) = _with_ones(every[order]), slots[order], self._heads()
         n, rows = len(slots), np.arange(len(slots))
         cls, member = slots // self.size, slots % self.size
         bounded = self._bounded()
-        prob = hs @ p["c"]
-        prob += p["cb"]
-        _exponents(prob, bounded)
-        prob /= prob.sum(1, keepdims=True)
-        loss = -np.log(prob[rows, cls] + 1e-30).sum()
-        prob[rows, cls] -= 1
-        prob /= n
-        g["c"], g["cb"] = hs.T @ prob, prob.sum(0)
-        dh = prob @ p["c"].T
+        prob = _exponents(hs @ classes, bounded)
+        part = 1 / _row_sums(prob)
+        loss = -np.log(prob[rows, cls] * part + 1e-30).sum()
+        prob *= (part / n)[:, None]
+        prob[rows, cls] -= 1 / max(1, n)
+        both = hs.T @ prob
+        g["c"], g["cb"] = both[:-1], both[-1]
+        dh, chance = prob @ p["c"].T, np.empty(n, prob.dtype)
         ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
         for k in range(CLASSES):
             i, j = ends[k], ends[k + 1]
             if i < j:
-                q = hs[i:j] @ p["o"][k]
-                q += p["ob"][k]
-                _exponents(q, bounded)
-                q /= q.sum(1, keepdims=True)
-                at = rows[: j - i]
-                loss -= np.log(q[at, member[i:j]] + 1e-30).sum()
-                q[at, member[i:j]] -= 1
-                q /= n
-                g["o"][k], g["ob"][k] = hs[i:j].T @ q, q.sum(0)
+                q = _exponents(hs[i:j] @ members[k], bounded)
+                part, at, m = 1 / _row_sums(q), rows[: j - i], member[i:j]
+                chance[i:j] = q[at, m] * part
+                q *= (part / n)[:, None]
+                q[at, m] -= 1 / n
+                both = hs[i:j].T @ q
+                g["o"][k], g["ob"][k] = both[:-1], both[-1]
                 dh[i:j] += q @ p["o"][k].T
+        loss -= np.log(chance + 1e-30).sum()
         back = np.zeros_like(every)
         back[order] = dh
         dh = back.reshape(t_max, -1, HIDDEN)
-        z, r, cand, inner = (np.stack([x[k] for x in steps]) for k in range(1, 5))
-        fz, fn, fr = (every.reshape(z.shape) - cand) * z * (1 - z), (1 - z) * (1 - cand * cand), inner * r * (1 - r)
+        keep, fr = 1 - z, inner * r
+        fr *= 1 - r
+        fz, fn = (states - cand) * z, 1 - cand * cand
+        fz *= keep
+        fn *= keep
         da, after, ut = np.empty((t_max, len(h0), 3 * HIDDEN), fz.dtype), np.zeros_like(h0), np.ascontiguousarray(p["u"].T)
         dg = np.empty_like(da)
         for t in range(t_max - 1, -1, -1):
-            dn = after * fn[t]
-            da[t, :, :HIDDEN] = after * fz[t]
-            da[t, :, HIDDEN : 2 * HIDDEN] = dn * fr[t]
+            dn, back = after * fn[t], dg[t]
+            np.multiply(after, fz[t], out=back[:, :HIDDEN])
+            np.multiply(dn, fr[t], out=back[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn, r[t], out=back[:, 2 * HIDDEN :])
             da[t, :, 2 * HIDDEN :] = dn
-            dg[t] = da[t]
-            dg[t, :, 2 * HIDDEN :] *= r[t]
-            after = after * z[t] + dg[t] @ ut + dh[t]
+            after = after * z[t]
+            after += back @ ut
+            after += dh[t]
             if first[t].any():
                 after[first[t]] = 0
+        da[:, :, : 2 * HIDDEN] = dg[:, :, : 2 * HIDDEN]
         da, dg = da.reshape(-1, 3 * HIDDEN), dg.reshape(-1, 3 * HIDDEN)
         starts = np.flatnonzero(np.diff(slots, prepend=-1))
         if n:
@@ -418,7 +428,7 @@ class Network:
         lanes, load = [lanes[k] for k in by_load], load[by_load]
         flat = [self.slot[np.concatenate([texts[i] for i in lane])] for lane in lanes]
         owner = [np.repeat(lane, [len(texts[i]) for i in lane]) for lane in lanes]
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
+        h, inputs = np.zeros((len(lanes), HIDDEN), np.float32), self._inputs()
         for at in range(0, int(load[0]), BLOCK):
             until = min(at + BLOCK, int(load[0]))
             live = int(np.searchsorted(-load, -at, side="left"))
@@ -435,7 +445,7 @@ class Network:
                 if first[t].any():
                     h = np.where(first[t][:, None], np.float32(0), h)
                 states[t] = h
-                h = self.step(h, x[t])[0]
+                h = self._move(h, inputs[x[t]])[0]
             good = who >= 0
             gained = self.log_prob(states[good], x[good])
             out += np.bincount(who[good], gained, len(texts))
